@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, sharding
+from . import bpe, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op3_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir, "documents")).drop("line_coverage", "ngram_coverage")
+
+
 def op4_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(_table(spark, sf_dir, "documents"))
 
@@ -29,7 +33,8 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_repetition_quality": op3_repetition_quality,
     "op4_stratified_shards": op4_stratified_shards,
     "op5_byte_bpe": op5_byte_bpe,
 }
-ORACLES: dict[str, str] = {"op4_stratified_shards": sharding.oracle()}
+ORACLES: dict[str, str] = {"op3_repetition_quality": quality.oracle(), "op4_stratified_shards": sharding.oracle()}
