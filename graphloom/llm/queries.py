@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, sharding, toxicity
+from . import bpe, mixing, quality, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), *vocabulary(), with_ids=False).drop("ids")
 
 
+def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def op10_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     weights = toxicity.train(docs, _table(spark, sf_dir, "labels"))
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_repetition_quality": op3_repetition_quality,
     "op4_stratified_shards": op4_stratified_shards,
     "op5_byte_bpe": op5_byte_bpe,
+    "op9_entropy_mix": op9_entropy_mix,
     "op10_noisy_or_toxicity": op10_noisy_or_toxicity,
 }
 ORACLES: dict[str, str] = {"op3_repetition_quality": quality.oracle(), "op4_stratified_shards": sharding.oracle()}
