@@ -75,9 +75,10 @@ def next_level(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     runs = length > 1
     symbols[runs] = mix(symbols[runs] + length[runs].astype(np.uint64) * GOLDEN)
     begin = np.searchsorted(at, first)
-    same = np.flatnonzero(symbols[1:] == symbols[:-1]) + 1
-    if len(same):  # only hash collisions
-        symbols[same] = mix(symbols[same] + U64(1))
+    same = np.zeros(len(symbols), dtype=bool)
+    same[1:] = symbols[1:] == symbols[:-1]
+    same[begin] = False
+    symbols[same] = mix(symbols[same] + U64(1))  # only hash collisions
     left = np.empty_like(symbols)
     left[1:] = symbols[:-1]
     left[begin] = ~symbols[begin]
