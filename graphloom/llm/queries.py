@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, html, mixing, quality, sharding, toxicity
+from . import bpe, fingerprint, html, licenses, mixing, quality, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), *vocabulary(), with_ids=False).drop("ids")
 
 
+def op6_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_repetition_quality": op3_repetition_quality,
     "op4_stratified_shards": op4_stratified_shards,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_license_sentences": op6_license_sentences,
     "op9_entropy_mix": op9_entropy_mix,
     "op10_noisy_or_toxicity": op10_noisy_or_toxicity,
 }
-ORACLES: dict[str, str] = {"op3_repetition_quality": quality.oracle(), "op4_stratified_shards": sharding.oracle()}
+ORACLES: dict[str, str] = {"op3_repetition_quality": quality.oracle(), "op4_stratified_shards": sharding.oracle(), "op6_license_sentences": licenses.oracle()}
