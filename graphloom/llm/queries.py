@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, html, licenses, mixing, quality, sharding, toxicity
+from . import bpe, fingerprint, html, licenses, minhash, mixing, quality, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op6_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op8_setsketch_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=3, num=85, den=100)
+
+
 def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_stratified_shards": op4_stratified_shards,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_license_sentences": op6_license_sentences,
+    "op8_setsketch_duplicates": op8_setsketch_duplicates,
     "op9_entropy_mix": op9_entropy_mix,
     "op10_noisy_or_toxicity": op10_noisy_or_toxicity,
 }
