@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, html, licenses, minhash, mixing, quality, sharding, toxicity
+from . import bpe, fingerprint, html, licenses, lines, minhash, mixing, quality, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,11 @@ def op6_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.withColumnsRenamed({"__n_lines": "n_lines", "__n_dropped": "n_dropped"})
+
+
 def op8_setsketch_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=3, num=85, den=100)
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_stratified_shards": op4_stratified_shards,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_license_sentences": op6_license_sentences,
+    "op7_fuzzy_lines": op7_fuzzy_lines,
     "op8_setsketch_duplicates": op8_setsketch_duplicates,
     "op9_entropy_mix": op9_entropy_mix,
     "op10_noisy_or_toxicity": op10_noisy_or_toxicity,
