@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Odd multipliers of the splitmix64 finaliser.
@@ -64,6 +65,29 @@ class Stash:
         self._remove(self.root)
 
 
+# --- bitmaps ---------------------------------------------------------------------------------------------------------
+
+#: Bits of a bitmap that thins out a scan before a join: one megabyte to every task, whatever the number of rows. With more
+#: rows than bits it lets everything through, and the join after it decides.
+BITMAP_BITS = 1 << 23
+
+
+def bitmap(rows: DataFrame, column: str) -> np.ndarray:
+    """Packed bits of the low bits of a long column's values; BITMAP_BITS / 8 bytes however many rows there are."""
+    place = F.col(column).bitwiseAND(F.lit(BITMAP_BITS - 1))
+    words = rows.select((place / 32).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 32).cast("int")).alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+    got = words.toArrow()
+    out = np.zeros(BITMAP_BITS // 32, dtype=np.uint32)
+    out[got.column("w").to_numpy()] = got.column("bits").to_numpy().astype(np.uint32)
+    return out.view(np.uint8)
+
+
+def within(packed: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values may be among those of the bitmap."""
+    at = (values.view(np.uint64) & U64(BITMAP_BITS - 1)).astype(np.int64)
+    return (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
 # --- Arrow text ------------------------------------------------------------------------------------------------------
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

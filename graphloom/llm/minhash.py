@@ -7,10 +7,12 @@ node from the start. Nodes that agree in all registers of a band are candidates;
 nodes' registers and set sizes jointly, by maximum likelihood, and only pairs that lie more than SIGMAS standard errors
 below the threshold are let go. All others are confirmed on their full sets.
 
-Within a band's bucket the candidates are each node with the bucket's pivot, so a bucket of n nodes gives n - 1 pairs.
-Buckets whose nodes then still lie in several components are searched again, block by block: every node outside the
-bucket's largest component against all nodes of other components. So no link between components that share a bucket is left out, and
-no bucket is written out pair by pair. A pair at the threshold shares no bucket with probability of at most MISS.
+Within a band's bucket the candidates are each node with the bucket's pivot, so a bucket of n nodes gives n - 1 pairs; those
+that are confirmed make components, and those that pass the estimate make wider clusters. Then the rest of a bucket's pairs is looked at
+as far as it could join components: within a cluster, the nodes outside its largest component are held against all of
+its nodes, on full sets, block by block, and only one link between two components leaves a block; between clusters, pairs of nodes in one
+bucket that pass the estimate are confirmed. So no link between components that share a bucket is left out, and no group is
+written out pair by pair. A pair at the threshold shares no bucket with probability of at most MISS.
 
 Cases: documents without a word (null or empty text) have an empty set and are linked with nothing; with fewer than k words the whole
 sequence is the one shingle; rows of one doc_id are one document, linked to whatever one of their texts is linked to;
@@ -26,14 +28,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from .common import GOLDEN, U64, Stash, column_bytes, distinct, lowered, mix, shingles, slices
+from .common import GOLDEN, U64, Stash, bitmap, column_bytes, distinct, lowered, mix, shingles, slices, within
 from .components import components
 
 M, B, A, TOP = 256, 1.001, 20.0, (1 << 16) - 1
 MISS, SIGMAS = 1e-5, 5.0
-#: Nodes of a bucket that one task compares with as many others, and members that are confirmed against one copy of a pivot.
-BLOCK, STAR = 512, 128
+#: Nodes of a bucket or cluster that one task compares with as many others, and members that are confirmed against one copy of a pivot.
+BLOCK, EXACT_BLOCK, STAR = 512, 256, 128
 
 _LOG_B = math.log(B)
 
@@ -132,13 +135,16 @@ def band_keys(sig: np.ndarray, r: int, bands: int) -> np.ndarray:
     return mix(key + np.arange(bands, dtype=np.uint64)[None, :])
 
 
-def _bands(r: int, bands: int):
+def _bands(r: int, bands: int, wanted: np.ndarray | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = band_keys(_matrix(batch.column("sig")), r, bands)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(batch.column("h").to_numpy(), bands)), pa.array(keys.view(np.int64).ravel())], names=["h", "bk"])
+                keys = band_keys(_matrix(batch.column("sig")), r, bands).view(np.int64).ravel()
+                node = np.repeat(batch.column("h").to_numpy(), bands)
+                if wanted is not None:
+                    some = within(wanted, keys)
+                    keys, node = keys[some], node[some]
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(keys)], names=["h", "bk"])
     return run
 
 
@@ -181,7 +187,7 @@ def _confirmed(k: int, lower: bool, num: int, den: int):
 
 
 def _residue(r: int, bands: int, least: float):
-    """Rows come sorted by bucket and block pair; the nodes outside the largest component (role 0) come first."""
+    """Rows come sorted by bucket and block pair; the nodes outside the largest cluster (role 0) come first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
@@ -200,7 +206,7 @@ def _residue(r: int, bands: int, least: float):
                 for h, own, size, s in held:
                     if h == pivot[low]:  # compared with all before
                         continue
-                    # a pair outside the largest component meets twice, and in all its common bands: one of them counts
+                    # a pair outside the largest cluster meets twice, and in all its common bands: one of them counts
                     fit = (label[rest:high] != own) & ((label[rest:high] == mode[rest:high]) | (node[rest:high] < h)) & (node[rest:high] != pivot[low])
                     at = np.flatnonzero(fit)
                     if not len(at):
@@ -216,6 +222,47 @@ def _residue(r: int, bands: int, least: float):
     return run
 
 
+def _joined(k: int, lower: bool, num: int, den: int):
+    """Rows come sorted by cluster and block pair; the nodes outside the largest component (role 0) come first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, index, seen = None, [], None, set()
+        for batch in batches:
+            c, i, j, role, node, label = (batch.column(x).to_numpy() for x in ("c", "i", "j", "role", "h", "label"))
+            found_a, found_b = [], []
+            for low, high, buf, off in slices(batch.column("text")):
+                h, rows = distinct(*shingles(lowered(buf) if lower else buf, off, k))
+                start = np.searchsorted(rows, np.arange(high - low + 1))
+                own = _set_hashes(h, rows, high - low)[1].view(np.int64)
+                for x in range(high - low):
+                    y = low + x
+                    if (c[y], i[y], j[y]) != now:
+                        now, held, index, seen = (c[y], i[y], j[y]), [], None, set()
+                    part = h[start[x] : start[x + 1]]
+                    if own[x] != node[y]:  # another text under the same doc_id
+                        continue
+                    if role[y] == 0:
+                        held.append((node[y], label[y], part.copy()))
+                        continue
+                    if index is None:
+                        sizes = np.array([len(s) for *_, s in held], dtype=np.int64)
+                        every = np.concatenate([s for *_, s in held]) if held else np.zeros(0, np.uint64)
+                        order = np.argsort(every)
+                        index = every[order], np.repeat(np.arange(len(held)), sizes)[order], sizes
+                    every, owner, sizes = index
+                    first, last = np.searchsorted(every, part), np.searchsorted(every, part, side="right")
+                    n = last - first
+                    at = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                    common = np.bincount(owner[at], minlength=len(held))
+                    for z in np.flatnonzero(den * common >= num * (sizes + len(part) - common)):
+                        other, its, _ = held[z]
+                        if its != label[y] and (other, label[y]) not in seen:
+                            seen.add((other, label[y]))
+                            found_a.append(other)
+                            found_b.append(node[y])
+            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
+    return run
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, k: int, lower: bool, num: int, den: int, stash: Stash) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets are as like as num / den; a is the pivot."""
     pairs = stash.keep(pairs.withColumn("copy", F.lit(0)))
@@ -229,6 +276,21 @@ def _confirm(pairs: DataFrame, texts: DataFrame, k: int, lower: bool, num: int,
     return stash.keep(rows.repartition(parts, "a", "copy").sortWithinPartitions("a", "copy", "role").mapInArrow(_confirmed(k, lower, num, den), "a long, b long"))
 
 
+def _blocks(rows: DataFrame, group: str, block: int) -> DataFrame:
+    """Of the groups with several labels: the commonest label, and how many blocks hold all rows and those of other labels."""
+    counts = rows.groupBy(group, "label").agg(F.count("*").alias("n"))
+    return (counts.groupBy(group).agg(F.sum("n").alias("size"), F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("m")).where("labels > 1")
+            .select(group, F.col("m.label").alias("mode"), F.ceil(F.col("size") / block).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("m.n")) / block).cast("int").alias("rest")))
+
+
+def _dealt(rows: DataFrame, group: str, parts: int, fields: list[str], run, stash: Stash) -> DataFrame:
+    """What run finds in the pairs of a block of all rows and a block of those outside the commonest label."""
+    everyone = rows.select(group, F.expr("pmod(xxhash64(h), blocks)").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("j"), F.lit(1).alias("role"), *fields)
+    outside = (rows.where("label <> mode")
+               .select(group, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.expr("pmod(xxhash64(h, 1), rest)").cast("int").alias("j"), F.lit(0).alias("role"), *fields))
+    return stash.keep(everyone.union(outside).repartition(parts, group, "i", "j").sortWithinPartitions(group, "i", "j", "role").mapInArrow(run, "a long, b long").distinct())
+
+
 def near_duplicates(docs: DataFrame, k: int, num: int, den: int, lower: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of (doc_id, text); likeness is num / den or more."""
     spark = docs.sparkSession
@@ -244,43 +306,49 @@ def near_duplicates(docs: DataFrame, k: int, num: int, den: int, lower: bool = T
     nodes = stash.keep(full.select("doc_id", "n", "h", "h2", "sig").join(classes.select(F.col("h").alias("ch"), F.col("h2").alias("ch2"), F.col("lead")), (F.col("doc_id") == F.col("lead")) & (F.col("h") == F.col("ch")) & (F.col("h2") == F.col("ch2")))
                        .dropDuplicates(["lead", "h", "h2"]).select("h", "lead", "n", "sig"))
     banded = stash.keep(nodes.select("h", "sig").mapInArrow(_bands(r, bands), "h long, bk long"))
-    buckets = banded.groupBy("bk").agg(F.count("*").alias("c"), F.min("h").alias("pivot")).where("c > 1")
-    shared = stash.keep(banded.join(buckets, "bk"))
-    stash.forget(banded)
-    involved = shared.select("h").distinct()
-    sigs = nodes.join(involved, "h")
-    leads = stash.keep(sigs.select("h", "lead"))
-    texts = stash.keep(rows.join(leads, rows.doc_id == leads.lead).select("h", "text").dropDuplicates(["h", "text"]))
-    sized = stash.keep(sigs.select("h", "n", "sig"))
+    buckets = stash.keep(banded.groupBy("bk").agg(F.count("*").alias("c"), F.min("h").alias("pivot"), F.max("h").alias("other")).where("c > 1"))
+    # the members of larger buckets are made again, as far as a bitmap of the buckets lets them through
+    large = buckets.where("c > 2").select("bk", "pivot")
+    crowded = stash.keep(nodes.select("h", "sig").mapInArrow(_bands(r, bands, bitmap(large, "bk")), "h long, bk long").join(large, "bk"))
+    star = (buckets.where("c = 2").select(F.col("pivot").alias("a"), F.col("other").alias("b"))
+            .union(crowded.where("h <> pivot").select(F.col("pivot").alias("a"), F.col("h").alias("b"))).distinct())
+    star = stash.keep(star)
+    involved = star.select(F.col("a").alias("h")).union(star.select(F.col("b").alias("h"))).distinct()
+    sized = stash.keep(nodes.join(involved, "h"))
+    leads = sized.select("h", "lead")
+    wanted = bitmap(leads.select(F.xxhash64("lead").alias("x")), "x")
+    may = F.arrow_udf(lambda x: pa.array(within(wanted, x.to_numpy(zero_copy_only=False))), BooleanType())
+    some = rows.where("doc_id is not null").where(may(F.xxhash64("doc_id")))
+    texts = stash.keep(some.join(leads, some.doc_id == leads.lead).select("h", "text").dropDuplicates(["h", "text"]))
     stash.forget(nodes)
+    sigs = sized.select("h", "n", "sig")
 
-    star = shared.where("h <> pivot").select(F.col("pivot").alias("a"), F.col("h").alias("b")).distinct()
-    star = (star.join(sized.toDF("a", "na", "sa"), "a").join(sized.toDF("b", "nb", "sb"), "b")
-            .mapInArrow(_estimated(least), "a long, b long"))
-    links = _confirm(star, texts, k, lower, num, den, stash)
-    grown = components(links, stash)
-
-    # buckets that still hold several components
-    labelled = stash.keep(shared.where("c > 2").join(grown.select(F.col("u").alias("h"), F.col("v").alias("label")), "h", "left").withColumn("label", F.coalesce("label", "h")))
-    counts = labelled.groupBy("bk", "label").agg(F.count("*").alias("c"))
-    mixed = (counts.groupBy("bk").agg(F.sum("c").alias("size"), F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("m")).where("labels > 1")
-             .select("bk", F.col("m.label").alias("mode"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("m.c")) / BLOCK).cast("int").alias("rest")))
-    open_rows = stash.keep(labelled.select("bk", "h", "label", "pivot").join(mixed, "bk").join(sized, "h"))
-    everyone = open_rows.select("bk", F.expr("pmod(xxhash64(h), blocks)").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("j"), F.lit(1).alias("role"), "h", "label", "mode", "pivot", "n", "sig")
-    outside = (open_rows.where("label <> mode")
-               .select("bk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.expr("pmod(xxhash64(h, 1), rest)").cast("int").alias("j"), F.lit(0).alias("role"), "h", "label", "mode", "pivot", "n", "sig"))
+    likely = stash.keep(star.join(sigs.toDF("a", "na", "sa"), "a").join(sigs.toDF("b", "nb", "sb"), "b").mapInArrow(_estimated(least), "a long, b long"))
+    links = _confirm(likely, texts, k, lower, num, den, stash)
+    grown, clusters = components(links, stash), components(likely, stash)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    more = (everyone.union(outside).repartition(parts, "bk", "i", "j").sortWithinPartitions("bk", "i", "j", "role")
-            .mapInArrow(_residue(r, bands, least), "a long, b long"))
-    more_links = _confirm(more, texts, k, lower, num, den, stash)
+
+    # clusters that still hold several components, on full sets
+    placed = (clusters.select(F.col("u").alias("h"), F.col("v").alias("c")).union(clusters.select(F.col("v").alias("h"), F.col("v").alias("c")).distinct())
+              .join(grown.select(F.col("u").alias("h"), F.col("v").alias("label")), "h", "left").withColumn("label", F.coalesce("label", "h")))
+    placed = stash.keep(placed)
+    apart = _blocks(placed, "c", EXACT_BLOCK)
+    inner = placed.join(apart, "c").join(texts, "h")
+    more_links = _dealt(inner, "c", parts, ["h", "label", "text"], _joined(k, lower, num, den), stash)
+
+    # buckets that hold several clusters, by estimate
+    across = stash.keep(crowded.join(clusters.select(F.col("u").alias("h"), F.col("v").alias("label")), "h", "left").withColumn("label", F.coalesce("label", "h")))
+    outer = across.join(_blocks(across, "bk", BLOCK), "bk").join(sigs, "h")
+    pairs = _dealt(outer, "bk", parts, ["h", "label", "mode", "pivot", "n", "sig"], _residue(r, bands, least), stash)
+    last_links = _confirm(pairs, texts, k, lower, num, den, stash)
 
     # from nodes to documents: the component's least doc_id
-    by_lead = links.union(more_links).join(leads.toDF("a", "la"), "a").join(leads.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    by_lead = links.union(more_links).union(last_links).join(leads.toDF("a", "la"), "a").join(leads.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
     owned = full.select("doc_id", "h", "h2").join(classes, ["h", "h2"]).select("doc_id", "lead").distinct()
     several = owned.groupBy("doc_id").agg(F.min("lead").alias("a"), F.max("lead").alias("b"), F.count("*").alias("c")).where("c > 1")
     split = owned.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("lead").alias("b"))
     found = components(by_lead.union(split), stash)
-    stash.forget(texts, sized, shared, labelled, open_rows, leads)
+    stash.forget(texts, sized, banded, crowded, across, placed, star, likely)
     out = sketched.select("doc_id", "n", "h", "h2").join(classes, ["h", "h2"], "left").join(found.select(F.col("u").alias("lead"), F.col("v").alias("found")), "lead", "left")
     component = F.coalesce("found", "lead", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),

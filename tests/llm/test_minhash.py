@@ -73,6 +73,7 @@ def test_a_large_group_of_pairwise_unlike_edits(spark, monkeypatch):
             copy[at] = f"x{i}-{at}"
         rows.append((i, " ".join(copy), None, None))
     monkeypatch.setattr(minhash, "BLOCK", 40)
+    monkeypatch.setattr(minhash, "EXACT_BLOCK", 30)
     monkeypatch.setattr(minhash, "STAR", 16)
     assert got(minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), 3, 85, 100)) == brute(rows, 3, 85, 100)
 
