@@ -1,15 +1,24 @@
-"""Cutting lineage in loops: checkpoints in the folder that the cluster names in spark.checkpoint.dir."""
+"""Cutting lineage in loops: tables written in the folder that the cluster names in spark.checkpoint.dir."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed and read back from the shared checkpoint folder; a temporary one only where none is set (tests)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
-    return df.checkpoint(eager=True)
+    """df, computed, written to the shared folder and read back, so that later plans begin anew with sizes as they are.
+
+    A temporary folder is used only where the cluster names none (tests). A checkpoint would carry on the estimated size of the plan
+    it cuts, which grows from round to round.
+    """
+    spark = df.sparkSession
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.graphloom.testdir", None)
+    if not where:
+        where = "file://" + tempfile.mkdtemp(prefix="graphloom-")
+        spark.conf.set("spark.graphloom.testdir", where)
+    path = f"{where.rstrip('/')}/graphloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

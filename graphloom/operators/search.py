@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.text import candidate_phrases, occurrences
 from ..model import Graph
@@ -32,7 +33,7 @@ def search(graph: Graph, query: str, limit: int = 12) -> DataFrame:
     return out.orderBy("rank", F.lower("label"), "ord", "id").limit(limit).select("kind", "id", "label", "type", "status", "rank")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Likeness from 0 to 100 of two strings' sorted words: insertions and deletions only."""
     def indel(x: str, y: str) -> float:
