@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import band, candidate_phrases, capped, clean_text, document_names, excerpt_chars, excerpt_words, is_quantity, predicate_name
+from ..functions.text import band, candidate_phrases, capped, clean_text, coerce, document_names, excerpt_chars, excerpt_words, is_quantity, predicate_name
 from ..model import Graph, edge_ids
-from ..operators import aggregate, ask, extract, metrics, registry, review, search, traverse, validate
-from ..operators.project import projection, snapshot_id
-from ..sources import node_link, tabular
+from ..operators import aggregate, ask, catalogue, extract, metrics, registry, review, search, traverse, validate
+from ..operators.project import is_prediction, projection, snapshot_id
+from ..sources import node_link, tabular, text
 from . import tables
 from .tables import graph, read
 
@@ -232,6 +232,89 @@ def s9_list_columns(spark, d):
     return tabular.list_graph(t, "p_brand", {"words": "NAMED"}).edges.select("source", "target", "relation")
 
 
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN p_name WHEN 2 THEN CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END END AS value FROM part")
+def s3_typed_attributes(spark, d):
+    k = F.col("p_partkey") % 4
+    v = F.when(k == 0, F.concat(F.lit(" 00"), "p_size")).when(k == 1, F.col("p_name")).when(k == 2, F.when(F.col("p_size") % 2 == 0, "YES").otherwise("no")).otherwise("  ")
+    return read(spark, d, "part").select("p_partkey", coerce(v, F.when(k == 2, "boolean").when(k < 2, "int").otherwise("string")).alias("value"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE p_name END AS display FROM part WHERE p_partkey % 5 <> 4")
+def s8_display_names(spark, d):
+    k = F.col("p_partkey")
+    p = read(spark, d, "part").select("p_partkey", F.when((k % 3 != 0) & (k % 5 != 4), F.col("p_name")).otherwise(" ").alias("name"), F.when(k % 5 != 4, F.col("p_brand")).alias("title"))
+    return tabular.display_nodes(p, ["name", "title"])[0].select("p_partkey", "display")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def s13_resume(spark, d):
+    return text.unprocessed(read(spark, d, "documents").select("doc_id"), read(spark, d, "labels"), "doc_id")
+
+
+@query("SELECT doc_id, len(list_filter(['review_status', 'host_derived', 'lang'], lambda k: k = 'lang'))::INTEGER AS kept FROM documents")
+def v3_managed_fields(spark, d):
+    rows = read(spark, d, "documents").select("doc_id", F.create_map(F.lit("review_status"), F.lit("accepted"), F.lit("host_derived"), F.lit("true"), F.lit("lang"), "lang").alias("attrs"))
+    return validate.strip_managed(rows).select("doc_id", F.size("attrs").alias("kept"))
+
+
+@query("+ SELECT id, label, 'unreviewed' AS status FROM nodes", orders=False, lines=False)
+def v4_replace(spark, d):
+    g = graph(spark, d, orders=False, lines=False)
+    return validate.replace_graph(g, g).node_status().select("id", "label", "status")
+
+
+@query("SELECT c_custkey AS k, CASE c_custkey % 2 WHEN 0 THEN 'accepted' ELSE 'rejected' END AS decision FROM customer WHERE c_custkey % 7 < 2")
+def v7_sane_reviews(spark, d):
+    c = read(spark, d, "customer")
+    k = F.col("c_custkey")
+    raw = c.select(F.concat(F.when(k % 7 == 2, "place:").when(k % 7 == 3, "").otherwise("node:"), F.lit("customer:"), F.when(k % 7 == 4, k + 10**9).otherwise(k)).alias("key"), F.when(k % 7 == 5, "maybe").when(k % 7 == 6, "unreviewed").when(k % 2 == 0, " Accepted ").otherwise("rejected").alias("decision"))
+    return review.sane_reviews(graph(spark, d, orders=False, lines=False), raw).select(F.substring_index("item_id", ":", -1).cast("long").alias("k"), "decision")
+
+
+@query("SELECT event_id, event_type = 'click' AND event_id % 2 = 0 OR event_type = 'view' AS prediction FROM events")
+def f4_predictions(spark, d):
+    e = F.col("event_type")
+    attrs = F.create_map(F.lit("modality"), F.when((e == "click") & (F.col("event_id") % 2 == 0), " model_predicted ").otherwise("SAID"), F.lit("type"), F.when(e == "view", "Prediction").otherwise(e))
+    return read(spark, d, "events").withColumn("attrs", attrs).select("event_id", is_prediction().alias("prediction"))
+
+
+@query("SELECT event_type AS reason, count(*) + count(*) FILTER (event_id % 3 = 0) AS count FROM events GROUP BY 1")
+def a7_reasons(spark, d):
+    e = F.col("event_type")
+    return aggregate.reason_counts(read(spark, d, "events").select(F.when(F.col("event_id") % 3 == 0, F.array(e, e)).otherwise(F.array(e)).alias("reasons")))
+
+
+@query("SELECT user_id AS id, round(avg(value), 6) AS score FROM events GROUP BY 1")
+def a10_mean_scores(spark, d):
+    return aggregate.mean_score(read(spark, d, "events").select(F.col("user_id").alias("id"), F.col("value").alias("score"))).withColumn("score", F.round("score", 6))
+
+
+@query("+ SELECT edge_id FROM edges WHERE relation IN ('PLACED', 'IN_REGION')", lines=False)
+def t9_relation_filter(spark, d):
+    return traverse.relation_filter(graph(spark, d, lines=False).edges, ["placed", "In_Region"]).select("edge_id")
+
+
+@query("SELECT doc_id, 'mention-' || substr(sha256(doc_id || '|' || lower(trim(regexp_replace(substr(text, 1, 30), '\\s+', ' ', 'g'))) || '|' || lang), 1, 20) AS mention FROM documents")
+def x10_mention_ids(spark, d):
+    return read(spark, d, "documents").select("doc_id", extract.mention_id(F.substring("text", 1, 30), F.col("lang"), F.col("doc_id").cast("string")).alias("mention"))
+
+
+@query("SELECT DISTINCT 't:' || p_type AS id FROM part")
+def h2_extractable(spark, d):
+    return registry.extractable(_registry(spark, d).types).select("id")
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'unavailable' ELSE 'available' END AS applicability, CASE WHEN c_custkey % 4 <> 0 THEN least(1, c_custkey / 24) END AS normalised_value, CASE WHEN c_custkey % 4 = 0 THEN 'missing_input' END AS reason FROM customer")
+def g17_observations(spark, d):
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_custkey")).alias("v"))
+    return catalogue.observations(c, "centrality.typed_weighted_degree", "v").select("id", "applicability", "normalised_value", "reason")
+
+
+@query("SELECT 'evidence.all' AS method, 'missing_source_appraisal' AS reason UNION ALL SELECT 'temporal.all', 'missing_snapshot_history' UNION ALL SELECT 'community.all', 'missing_community_assignment'")
+def g18_catalogue(spark, d):
+    return catalogue.catalogue(spark).where("not available").select("method", "reason")
+
+
 # --- search ---
 
 @query("""+, h AS (SELECT 'node' AS kind, id, label, type, status, CASE WHEN starts_with(lower(label), 'small') THEN 0 ELSE 1 END AS rank, ord FROM ns WHERE contains(lower(label || ' ' || type), 'small'))
@@ -543,7 +626,7 @@ def x14_chunks(spark, d):
     return extract.chunks(read(spark, d, "documents"))
 
 
-@query("SELECT doc_id, substr(text, 4, 40) AS found FROM documents WHERE strpos(text, substr(text, 4, 40)) = 4 AND length(text) > 50 AND regexp_full_match(substr(text, 4, 40), '\\S(.|\\n)*\\S') AND NOT regexp_matches(substr(text, 4, 40), '\\s\\s')")
+@query()
 def x15_located_quotes(spark, d):
     docs = read(spark, d, "documents").withColumn("q", F.substring("text", 4, 40)).where(r"length(text) > 50 and position(q, text) = 4 and q rlike '(?s)^\\S.*\\S$' and not q rlike '\\s\\s'")
     return docs.select("doc_id", extract.located(F.col("text"), F.regexp_replace("q", r"\s+", "  \n")).alias("found"))
