@@ -88,11 +88,17 @@ class Graph:
         """Edges with status, likewise."""
         return self._status(self.edges, "edge", "edge_id")
 
+    def barred(self, wanted: tuple[str, ...]) -> DataFrame:
+        """(id) of the nodes that have none of the statuses: as a rule few, and from the reviews alone where only rejections bar."""
+        if set(wanted) == {"accepted", "unreviewed"}:
+            return self.reviews.where((F.col("kind") == "node") & (F.col("decision") == "rejected")).select(F.col("item_id").alias("id"))
+        return self.node_status().where(~F.col("status").isin(*wanted)).select("id")
+
     def retained_edges(self, statuses: tuple[str, ...] = ("accepted", "unreviewed")) -> DataFrame:
-        """Edges that, with both ends, have one of the statuses."""
-        nodes = self.node_status().where(F.col("status").isin(*statuses)).select("id")
+        """Edges that, with both ends, have one of the statuses: two anti-joins with the barred nodes."""
+        bad = self.barred(statuses)
         edges = self.edge_status().where(F.col("status").isin(*statuses))
-        return edges.join(nodes.toDF("source"), "source", "left_semi").join(nodes.toDF("target"), "target", "left_semi")
+        return edges.join(bad.toDF("source"), "source", "left_anti").join(bad.toDF("target"), "target", "left_anti")
 
     def adjacency(self, edges: DataFrame | None = None) -> DataFrame:
         """(node, neighbour, edge_id, relation, ord): each edge from both ends; a loop stands twice."""

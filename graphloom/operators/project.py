@@ -49,13 +49,13 @@ class Projection:
 def projection(graph: Graph, statuses: tuple[str, ...] = ("accepted", "unreviewed")) -> Projection:
     """Records of the given statuses that are no predictions; parallel edges of one relation, polarity and validity are fused.
 
-    A fused edge keeps the attributes of its first record and the ids of all, in order. Both ends are semi-joined before
+    A fused edge keeps the attributes of its first record and the ids of all, in order. What is left out is anti-joined from both ends before
     the one aggregation, which is keyed by the whole edge, so no hub meets in one task.
     """
     nodes = graph.node_status().where(F.col("status").isin(*statuses) & ~is_prediction())
-    ids = nodes.select("id")
+    bad = graph.barred(statuses).union(graph.nodes.where(is_prediction()).select("id")).distinct()
     edges = graph.edge_status().where(F.col("status").isin(*statuses) & ~is_prediction())
-    edges = edges.join(ids.toDF("source"), "source", "left_semi").join(ids.toDF("target"), "target", "left_semi")
+    edges = edges.join(bad.toDF("source"), "source", "left_anti").join(bad.toDF("target"), "target", "left_anti")
     own = F.coalesce(F.nullif(F.element_at("attrs", "assertion_id"), F.lit("")), F.nullif(F.element_at("attrs", "id"), F.lit("")), F.col("edge_id"))
     value = lambda k: F.coalesce(F.element_at("attrs", k), F.lit(""))
     keyed = edges.select("source", F.upper("relation").alias("relation"), "target", value("polarity").alias("polarity"), F.concat(value("valid_from"), F.lit("/"), value("valid_to")).alias("valid"), own.alias("own"), "ord")
