@@ -391,10 +391,10 @@ def t3_k_hop(spark, d):
     return traverse.k_hop(graph(spark, d, lines=False), "customer:1", 3).select("id", "depth")
 
 
-@query("""+, far(id, depth) AS (SELECT 'supplier:3', 0 UNION SELECT neighbour, depth + 1 FROM far JOIN kadj ON node = id WHERE depth < 6), dist AS (SELECT id, min(depth) AS depth FROM far GROUP BY 1)
-    SELECT depth AS length FROM dist WHERE id = 'supplier:7'""", lines=False, recursive=True)
+@query("""+, far(id, depth) AS (SELECT 'nation:0', 0 UNION SELECT neighbour, depth + 1 FROM far JOIN kadj ON node = id WHERE depth < 6), dist AS (SELECT id, min(depth) AS depth FROM far GROUP BY 1)
+    SELECT depth AS length FROM dist WHERE id = 'nation:5'""", lines=False, recursive=True)
 def t4_shortest_path(spark, d):
-    path = traverse.shortest_path(graph(spark, d, lines=False), "supplier:3", "supplier:7")
+    path = traverse.shortest_path(graph(spark, d, lines=False), "nation:0", "nation:5")
     return spark.createDataFrame([(len(path[1]),)] if path else [], "length int")
 
 
@@ -697,7 +697,7 @@ def h6_suggestions(spark, d):
 
 # --- questions ---
 
-_QUESTIONS = ["How many nodes are there?", "What are the relationship types?", "Which are the most connected nodes?", 'Shortest path between "supplier:3" and "supplier:7"', "What about NATION_3?", "zzz qqq"]
+_QUESTIONS = ["How many nodes are there?", "What are the relationship types?", "Which are the most connected nodes?", 'Shortest path between "nation:0" and "nation:5"', "What about NATION_3?", "zzz qqq"]
 
 
 @query()
