@@ -101,7 +101,9 @@ def test_bands_miss_few():
         assert r * bands <= minhash.M and (1 - t**r) ** bands <= minhash.MISS
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_components_of_paths_and_stars(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL", small)
     rng = random.Random(4)
     pairs = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 600)] + [(7, 7)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(70)]
     top = {}
