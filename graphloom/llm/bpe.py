@@ -25,6 +25,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Code points of a chunk, and of the part that it shares with the next.
 CHUNK, OVERLAP = 1 << 15, 1 << 10
 
@@ -115,6 +117,7 @@ OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = True, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """Per row of (doc_id, text): n_tokens, hashes of ids and of the decoded bytes, and the ids (little-endian uint32)."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     whole = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= chunk).mapInArrow(_encode_whole(vocabulary, pattern, with_ids), OUT)
     # rows with equal id and text are encoded once, then counted out again

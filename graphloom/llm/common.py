@@ -38,10 +38,23 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Rows of an Arrow batch at most: texts are long, and a batch is held on both sides of the pipe to Python.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS where they are larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Stash:
     """Tables written to the shared folder: they cut lineage, outlive executors, and go when drop() is called."""
 
     def __init__(self, spark: SparkSession):
+        small_batches(spark)
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/graphloom-{uuid.uuid4().hex}", 0
 
     def keep(self, df: DataFrame) -> DataFrame:

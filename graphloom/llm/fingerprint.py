@@ -26,7 +26,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, U64, mix, powers
+from .common import GOLDEN, U64, mix, powers, small_batches
 
 LEVELS, SKETCH = (2, 3, 4), 32
 DIGITS = 10
@@ -185,6 +185,7 @@ def _pairs(kind: str):
 def fingerprints(docs: DataFrame, rows_per_bucket: int = 1024) -> DataFrame:
     """FIELDS of each row of (doc_id, text), the next row being that of the next lower doc_id, after the last the first."""
     spark = docs.sparkSession
+    small_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # descending, nulls last; what ties is ordered by a hash of its text

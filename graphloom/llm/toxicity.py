@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowered, slices, span_hashes
+from .common import lowered, slices, small_batches, span_hashes
 
 BITS, SAMPLE, SAMPLE_BYTES, PREFIXES = 18, 10_000, 16_384, (3, 4, 5, 6, 7, 8)
 #: Sampled text whose features are kept between epochs; those of a larger sample are made anew for each batch.
@@ -147,6 +147,7 @@ OUT = "score double, n_sentences int, offending array<struct<low: int, high: int
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """doc_id, held_out, score, predicted, n_sentences and the offending sentences (code points from low to high) of each row."""
+    small_batches(docs.sparkSession)
     sent = weights.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
