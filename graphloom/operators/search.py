@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from ..functions.text import candidate_phrases, occurrences
 from ..model import Graph
 
 FUZZY_CUTOFF = 70
+#: Query vectors that are broadcast at once, on average.
+QUERY_BLOCK = 4096
 
 
 def _folded(text: str) -> str:
@@ -134,10 +138,17 @@ def question_nodes(graph: Graph, question: str) -> DataFrame:
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 3, close: float = 1.0) -> DataFrame:
     """(query_id, vec_id, distance, close): exact k nearest by squared distance; (query_id, embedding) against (vec_id, embedding).
 
-    The stated queries go to every task in one broadcast, as a block of at most 4096; each task keeps its k best per query
-    before the shuffle, so what is exchanged is k rows per query and task.
+    The queries are counted and dealt into blocks of QUERY_BLOCK on average by their ids' hashes; each block goes to every task in
+    one broadcast, and the blocks' results are united. Each task keeps its k best per query before the shuffle, so what is
+    exchanged is k rows per query and task.
     """
-    q = F.broadcast(queries.select("query_id", F.col("embedding").alias("q")).orderBy("query_id").limit(4096))
+    blocks = max(-(-queries.count() // QUERY_BLOCK), 1)
+    parts = [queries] if blocks == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
+    return reduce(DataFrame.union, [_nearest(q, vectors, k, close) for q in parts])
+
+
+def _nearest(queries: DataFrame, vectors: DataFrame, k: int, close: float) -> DataFrame:
+    q = F.broadcast(queries.select("query_id", F.col("embedding").alias("q")))
     d = F.aggregate(F.zip_with("q", "embedding", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
     pairs = vectors.select("vec_id", "embedding").join(q).select("query_id", "vec_id", d.alias("distance"))
     w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
