@@ -425,7 +425,7 @@ def t10_coverage(spark, d):
 
 @query()
 def t11_marginal_coverage(spark, d):
-    g = graph(spark, d, orders=False, lines=False)
+    g = graph(spark, d)
     return traverse.marginal_coverage(g.adjacency(g.retained_edges()), spark.createDataFrame([("nation:1",), ("nation:2",), ("region:0",)], "id string"), 2)
 
 
@@ -447,7 +447,7 @@ def g1_pagerank(spark, d):
 
 @query()
 def g2_seeded_pagerank(spark, d):
-    return metrics.pagerank(projection(graph(spark, d, orders=False, lines=False)), seeds=spark.createDataFrame([("supplier:3",)], "id string"), iterations=12)
+    return metrics.pagerank(projection(graph(spark, d)), seeds=spark.createDataFrame([("supplier:3",)], "id string"), iterations=12)
 
 
 @query("""+, pn AS (SELECT id FROM ns WHERE status <> 'rejected'), u AS (SELECT source AS a, target AS b FROM kept UNION SELECT target, source FROM kept),
@@ -520,7 +520,7 @@ def g14_group_sequences(spark, d):
 
 @query()
 def g15_component_share(spark, d):
-    return metrics.component_sizes(projection(graph(spark, d, orders=False, lines=False)))
+    return metrics.component_sizes(projection(graph(spark, d)))
 
 
 @query("+ SELECT id, 0.0::DOUBLE AS diversity FROM ns WHERE status <> 'rejected'", orders=False, lines=False)
