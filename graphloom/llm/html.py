@@ -2,12 +2,16 @@
 
 A page is read into a tree by one pass of a tokeniser that follows the usual rules for unclosed tags. For every node the
 characters and tags below it, and those inside links, give its composite density: characters per tag, raised or lowered
-by the share of link text. A node's density sum adds up its children's densities. The subtree of greatest density sum
-shows where the content is; the least density on the path from it up to body is the threshold, and the node of
-greatest sum within each node that passes the threshold is content.
+by the share of link text. A node's density sum adds up its children's densities, but for those of inline formatting, which belong to the
+block around them. The subtree of greatest density sum is content; the least density on the path from it up to body is the threshold, and
+a block beside the path is content, too, if its density passes the threshold, its text is mostly no link text, and it holds at least ASIDE of
+the winner's characters or stands between such blocks; so are the headings before what is content. Inside the winner, a block of nothing
+but links, three or more, that does not pass the threshold is a menu and goes. Of equal sums, article or main wins, then the one with more characters, then
+the first in page order.
 
 What is never content is set aside first: scripts, styles, forms, navigation, page headers and footers, sidebars, and
-blocks whose role, class or id names them as such, as notices, adverts or reader comments. Character references are decoded, white space
+blocks whose role, class or id names them as such, as notices, adverts or reader comments; also what browsers do not show (templates, noscript, hidden
+elements) and drawings. Formulas and what stands in object, canvas, audio and video stay. Character references are decoded, white space
 inside a block becomes one space, blocks are joined by an empty line.
 
 Cases: a null or empty page, or one without text, gives the empty string; broken markup (open tags, stray ends, a cut
@@ -29,11 +33,14 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object textarea title select canvas audio video".split())
+RAW = frozenset("script style noscript template iframe svg textarea title select annotation annotation-xml".split())
 DROPPED = frozenset("nav footer aside form button menu dialog head".split())
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dir div dl dt fieldset figcaption figure footer form h1 h2
 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul""".split())
 FORMATTING = frozenset("a abbr b bdi bdo big cite code em font i kbd mark q s samp small span strike strong sub sup tt u var".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Share of the winner's characters that a block beside its path must hold, unless it stands between such blocks.
+ASIDE = 0.1
 #: Tags that end an open element of the named kinds, up to the named fence.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
           "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"})}
@@ -109,7 +116,7 @@ def tree(page: str) -> tuple[Node, list[Node]]:
         closing, tag, attributes = found["end"] or found["end2"], (found["tag"] or found["tag2"] or "").lower(), found["attributes"] or found["attributes2"] or ""
         if not tag:
             if found.group().startswith("<![CDATA["):
-                add("").text = found.group()[9:-3]
+                add("").text = found.group()[9:].removesuffix("]]>")
             continue
         if closing:
             if open_tags.get(tag, 0) and tag not in ("html", "body"):
@@ -181,7 +188,7 @@ def densities(nodes: list[Node]) -> None:
         base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
         node.density = c / t * math.log(max(c / lc * t / lt, 1.0) + 1e-9, base) if base > 1 else c / t
         node.density = max(node.density, 0.0)
-        if node.parent is not None:
+        if node.parent is not None and node.tag not in FORMATTING:
             node.parent.total += node.density
 
 
@@ -214,29 +221,59 @@ def blocks(top: list[Node]) -> list[str]:
 
 
 def content(nodes: list[Node]) -> list[Node]:
-    """The subtrees that hold the main text: by density sum, threshold on the body path, and what encloses the winner."""
+    """The subtrees that hold the main text, in page order: the one of greatest density sum, and blocks beside its path that pass the threshold."""
     real = [n for n in nodes if not n.skip and n.tag and n.chars]
     if not real:
         return []
-    best = max(real, key=lambda n: (n.total, n.chars))
-    threshold, path = best.density, [best]
+    best = max(real, key=lambda n: (n.total, n.tag in ("article", "main"), n.chars))
+    path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-        if path[-1].tag != "html":
-            threshold = min(threshold, path[-1].density)
-    # the section that the page itself marks around the winner, else wrappers that hold little beside it
-    for tag in ("article", "main"):
-        for node in path:
-            if node.tag == tag:
-                return [node]
-    while best.parent is not None and best.parent.tag not in ("body", "html") and (best.tag not in BLOCKS or best.chars >= 0.8 * best.parent.chars):
-        best = best.parent
-    if best.tag in ("body", "html") or best.parent is None:
-        return [best]
-    # beside it, nodes as dense as the path's least dense one, and the headings
-    at = best.parent.children.index(best)
-    heads = {id(n) for n in best.parent.children[:at] if re.fullmatch("h[1-6]", n.tag)}
-    return [n for n in best.parent.children if n is best or not n.skip and n.chars and (id(n) in heads or n.tag in BLOCKS and min(n.density, n.total) >= threshold and 3 * n.link_chars < n.chars)]
+    threshold = min(n.density for n in path if n.tag != "html" or n is best)
+    # a winner that is no block of its own stands for the one around it
+    while path[0].tag not in BLOCKS and len(path) > 1:
+        path.pop(0)
+    best = path[0]
+    _drop_menus(best, threshold)
+    chosen, top = [best], best
+    for up in path[1:]:
+        dense = [n is top or not n.skip and n.chars > 0 and _passes(n, threshold) for n in up.children]
+        sure = [k for k, n in enumerate(up.children) if n is top or dense[k] and n.chars >= ASIDE * best.chars]
+        passing = {id(n) for k, n in enumerate(up.children) if dense[k] and sure[0] <= k <= sure[-1]}
+        # headings count as far as nothing but headings stands between them and what is content
+        wanted, part = False, []
+        for node in reversed(up.children):
+            if node is top:
+                part.extend(reversed(chosen))
+                wanted = True
+            elif node.skip or not node.chars:
+                continue
+            elif id(node) in passing or wanted and node.tag in HEADINGS:
+                part.append(node)
+                wanted = True
+                if node.tag not in HEADINGS:
+                    _drop_menus(node, threshold)
+            else:
+                wanted = False
+        chosen, top = part[::-1], up
+    return chosen
+
+
+def _passes(node: Node, threshold: float) -> bool:
+    return node.tag in BLOCKS and node.tag not in HEADINGS and node.density >= threshold and 3 * node.link_chars < node.chars
+
+
+def _drop_menus(node: Node, threshold: float) -> None:
+    """Sets aside the blocks below a node that are nothing but three or more links."""
+    stack = [node]
+    while stack:
+        for child in stack.pop().children:
+            if child.skip or not child.chars or child.tag not in BLOCKS:
+                continue
+            if child.link_chars >= child.chars and child.link_tags >= 3 and child.density < threshold:
+                child.skip = True
+            else:
+                stack.append(child)
 
 
 def extract(page: str) -> str:
