@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut, forget
 from .search import suggest
 
 UNRESOLVED, HOST_ONLY, CONCEPT = "UNRESOLVED", "HOST_DERIVED_ONLY", "skos:Concept"
@@ -31,19 +32,22 @@ class Registry:
     enums: dict
 
 
-def ancestors(types: DataFrame, most: int = 64) -> DataFrame:
-    """(id, ancestor, depth): each type's chain of parents, itself at 0; a cycle is followed once round."""
-    spark = types.sparkSession
-    view = f"types_{abs(id(types))}"
-    types.select("id", "parent_id").createOrReplaceTempView(view)
-    return spark.sql(f"""
-        WITH RECURSIVE chain(id, ancestor, depth, seen) MAX RECURSION LEVEL {most} AS (
-            SELECT id, id, 0, array(id) FROM {view}
-            UNION ALL
-            SELECT c.id, t.parent_id, c.depth + 1, array_append(c.seen, t.parent_id)
-            FROM chain c JOIN {view} t ON t.id = c.ancestor
-            WHERE t.parent_id IS NOT NULL AND NOT array_contains(c.seen, t.parent_id) AND c.depth < {most - 2})
-        SELECT id, ancestor, depth FROM chain""")
+def ancestors(types: DataFrame) -> DataFrame:
+    """(id, ancestor, depth): each type's chain of parents, itself at 0; a cycle is followed once round.
+
+    Chains double in length from round to round until no new pair comes, so a chain of any depth is whole after a number of rounds that
+    is its depth's logarithm.
+    """
+    own = types.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
+    chain = cut(own.union(types.where("parent_id is not null and parent_id <> id").select("id", "parent_id", F.lit(1))).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")))
+    size = chain.count()
+    while True:
+        further = chain.where("depth > 0").toDF("id", "middle", "d1").join(chain.where("depth > 0").toDF("middle", "ancestor", "d2"), "middle")
+        grown = cut(chain.union(further.select("id", "ancestor", F.col("d1") + F.col("d2"))).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")))
+        forget(chain)
+        chain, before, size = grown, size, grown.count()
+        if size == before:
+            return chain
 
 
 def satisfies(pairs: DataFrame, chain: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -13,8 +14,17 @@ from ..functions.text import candidate_phrases, occurrences
 from ..model import Graph
 
 FUZZY_CUTOFF = 70
-#: Query vectors that are broadcast at once, on average.
-QUERY_BLOCK = 4096
+#: Query vectors, and names or texts, that are broadcast at once, on average.
+QUERY_BLOCK, NAME_BLOCK = 4096, 1000
+#: Characters whose counts bound the likeness of two names from above; all others count as alike.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def _in_blocks(queries: DataFrame, key: str, size: int, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work over blocks of the queries, dealt by their keys' hashes: each goes to every task in one broadcast, and the results are united."""
+    blocks = max(-(-queries.count() // size), 1)
+    parts = [queries] if blocks == 1 else [queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b) for b in range(blocks)]
+    return reduce(DataFrame.union, [work(q) for q in parts])
 
 
 def _folded(text: str) -> str:
@@ -57,12 +67,41 @@ def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel(tidy(x), tidy(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def _tidy(c: Column) -> Column:
+    """A name with its white space folded, in lower case: as long as its sorted words, and of the same characters."""
+    return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+
+
+def _letters(c: Column) -> Column:
+    """How often each of _LETTERS stands in a name."""
+    return F.array(*[F.length(c) - F.length(F.replace(c, F.lit(x))) for x in _LETTERS])
+
+
+def _maybe_alike(named: DataFrame, names: DataFrame, folded: str) -> DataFrame:
+    """Pairs of a block of names (low) and all named rows whose lengths and letters allow a likeness of FUZZY_CUTOFF.
+
+    The likeness is 200 * common / (sum of lengths), and no more can be common than the letters that both have; so unlike pairs never
+    leave the JVM.
+    """
+    left = F.broadcast(names.withColumn("__length", F.length("low")).withColumn("__letters", _letters(F.col("low"))))
+    right = named.withColumn("__own_length", F.length(folded)).withColumn("__own", _letters(F.col(folded)))
+    least = F.lit(FUZZY_CUTOFF / 200) * (F.col("__length") + F.col("__own_length"))
+    common = F.aggregate(F.zip_with("__letters", "__own", lambda a, b: F.least(a, b)), F.lit(0), lambda s, x: s + x)
+    other = F.least(F.col("__length") - F.aggregate("__letters", F.lit(0), lambda s, x: s + x), F.col("__own_length") - F.aggregate("__own", F.lit(0), lambda s, x: s + x))
+    fits = (F.least("__length", "__own_length") >= least) & (common + other >= least)
+    return right.join(left, fits).drop("__length", "__letters", "__own_length", "__own", folded)
+
+
 def resolve_nodes(graph: Graph, values: DataFrame, fuzzy: bool = False) -> DataFrame:
     """(value, id): by id, else equal label, else the shortest label that holds the value, else (fuzzy) the likest of 70 or more.
 
-    The values are a short list of names, so they go to the nodes: one pass, and one aggregation to a node per value.
+    The values go to the nodes in blocks of NAME_BLOCK: one pass over the nodes for each, and one aggregation to a node per value.
     """
-    v = F.broadcast(values.select("value").distinct().limit(1000).withColumn("name", F.trim(F.regexp_replace("value", r"\s+", " "))).where("name <> ''").withColumn("low", F.lower("name")))
+    return _in_blocks(values.select("value").distinct(), "value", NAME_BLOCK, lambda block: _resolve_nodes(graph, block, fuzzy))
+
+
+def _resolve_nodes(graph: Graph, values: DataFrame, fuzzy: bool) -> DataFrame:
+    v = F.broadcast(values.withColumn("name", F.trim(F.regexp_replace("value", r"\s+", " "))).where("name <> ''").withColumn("low", F.lower("name")))
     label = F.lower("label")
     tier = F.when(F.col("id") == F.col("name"), 0).when(label == F.col("low"), 1).when(F.contains(label, F.col("low")), 2)
     hits = graph.nodes.select("id", "label", "ord").join(v, (F.col("id") == F.col("name")) | F.contains(label, F.col("low"))).withColumn("tier", tier)
@@ -70,7 +109,8 @@ def resolve_nodes(graph: Graph, values: DataFrame, fuzzy: bool = False) -> DataF
     if not fuzzy:
         return best
     rest = v.join(best, "value", "left_anti").where(F.length("low") >= 3)
-    near = graph.nodes.select("id", "label", "ord").join(F.broadcast(rest)).withColumn("score", token_sort_ratio(F.col("low"), F.col("label"))).where(F.col("score") >= FUZZY_CUTOFF)
+    named = graph.nodes.select("id", "label", "ord").withColumn("__folded", _tidy(F.col("label")))
+    near = _maybe_alike(named, rest, "__folded").withColumn("score", token_sort_ratio(F.col("low"), F.col("label"))).where(F.col("score") >= FUZZY_CUTOFF)
     return best.union(near.groupBy("value").agg(F.max_by("id", F.struct("score", -F.col("ord"))).alias("id")))
 
 
@@ -87,13 +127,18 @@ def _spaced(c: Column) -> Column:
 def resolve_relations(graph: Graph, values: DataFrame, fuzzy: bool = False) -> DataFrame:
     """(value, relation): equal, else equal but for _ and -, else the shortest that holds the value, else (fuzzy) the likest."""
     relations = graph.edges.select("relation").distinct()
-    v = F.broadcast(values.select("value").distinct().limit(1000).withColumn("low", F.lower(F.trim(F.regexp_replace("value", r"\s+", " ")))).where("low <> ''"))
+    return _in_blocks(values.select("value").distinct(), "value", NAME_BLOCK, lambda block: _resolve_relations(relations, block, fuzzy))
+
+
+def _resolve_relations(relations: DataFrame, values: DataFrame, fuzzy: bool) -> DataFrame:
+    v = F.broadcast(values.withColumn("low", F.lower(F.trim(F.regexp_replace("value", r"\s+", " ")))).where("low <> ''"))
     tier = F.when(F.lower("relation") == F.col("low"), 0).when(_spaced(F.col("relation")) == _spaced(F.col("low")), 1).when(F.contains(F.lower("relation"), F.col("low")), 2)
     pairs = relations.join(v).withColumn("tier", tier)
     best = pairs.where("tier is not null").groupBy("value").agg(F.min_by("relation", F.struct("tier", F.when(F.col("tier") == 2, F.length("relation")).otherwise(0), "relation")).alias("relation"))
     if not fuzzy:
         return best
-    near = pairs.join(best, "value", "left_anti").where(F.length("low") >= 3).withColumn("score", token_sort_ratio(F.col("low"), F.col("relation"))).where(F.col("score") >= FUZZY_CUTOFF)
+    rest = v.join(best, "value", "left_anti").where(F.length("low") >= 3)
+    near = _maybe_alike(relations.withColumn("__folded", _tidy(F.col("relation"))), rest, "__folded").withColumn("score", token_sort_ratio(F.col("low"), F.col("relation"))).where(F.col("score") >= FUZZY_CUTOFF)
     w = Window.partitionBy("value").orderBy(F.desc("score"), "relation")
     return best.union(near.withColumn("k", F.row_number().over(w)).where("k = 1").select("value", "relation"))
 
@@ -106,11 +151,15 @@ def resolve_relation(graph: Graph, value: str, fuzzy: bool = True) -> str | None
 def mentioned(graph: Graph, texts: DataFrame) -> DataFrame:
     """(key, id) of texts (key, text): the longest label that stands in the text, the greatest id among equals; rejected nodes don't count.
 
-    The texts are questions, a stated set of at most 1000 that goes to the nodes; each node is tested where it lies, and
+    The texts are questions, which go to the nodes in blocks of NAME_BLOCK; each node is tested where it lies, and
     one node per text and task is left before the shuffle.
     """
+    return _in_blocks(texts.select("key", "text"), "key", NAME_BLOCK, lambda block: _mentioned(graph, block))
+
+
+def _mentioned(graph: Graph, texts: DataFrame) -> DataFrame:
     nodes = graph.node_status().where("status <> 'rejected'").select("id", F.lower("label").alias("low")).where("low <> ''")
-    t = F.broadcast(texts.select("key", F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("text")).limit(1000))
+    t = F.broadcast(texts.select("key", F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("text")))
     hits = nodes.join(t, F.contains(F.col("text"), F.col("low")))
     return hits.groupBy("key").agg(F.max_by("id", F.struct(F.length("low"), F.col("id"))).alias("id"))
 
@@ -142,9 +191,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 3, close: float = 1
     one broadcast, and the blocks' results are united. Each task keeps its k best per query before the shuffle, so what is
     exchanged is k rows per query and task.
     """
-    blocks = max(-(-queries.count() // QUERY_BLOCK), 1)
-    parts = [queries] if blocks == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
-    return reduce(DataFrame.union, [_nearest(q, vectors, k, close) for q in parts])
+    return _in_blocks(queries, "query_id", QUERY_BLOCK, lambda block: _nearest(block, vectors, k, close))
 
 
 def _nearest(queries: DataFrame, vectors: DataFrame, k: int, close: float) -> DataFrame:

@@ -15,7 +15,7 @@ EDGE = f"_id string, _source string, _target string, {_DATA}"
 
 
 def _scan(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
-    return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    return spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", True).schema(schema).load(path)
 
 
 def _attributes(rows: DataFrame, keys: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def _attributes(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> Graph:
-    """The graph of a GraphML file. DOCTYPE and ENTITY are refused; edges with an unknown end are left out."""
+    """The graph of a GraphML file, whatever prefix its tags have. DOCTYPE and ENTITY are refused; edges with an unknown end are left out."""
     if not spark.read.text(path).where(F.upper("value").rlike("<!(DOCTYPE|ENTITY)")).isEmpty():
         raise GraphValidationError("DOCTYPE and ENTITY are not allowed")
     keys = _scan(spark, path, "key", KEY).select(F.col("_id").alias("key"), F.col("`_attr.name`").alias("name"), F.lower("`_attr.type`").alias("type")).dropDuplicates(["key"])

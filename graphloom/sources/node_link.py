@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,15 +59,35 @@ def export(graph: Graph, include_review: bool = True, statuses: tuple[str, ...]
 
 
 def write(graph: Graph, path: str, **options) -> None:
-    """Line-delimited JSON under path/nodes and path/links, committed by Spark's own protocol."""
+    """Line-delimited JSON under path/nodes and path/links.
+
+    Both are written beside path first and take its place by renaming, so a reader never sees one without the other, and a write that fails leaves
+    what was there.
+    """
     nodes, edges = export(graph, **options)
-    nodes.write.mode("overwrite").json(f"{path}/nodes")
-    edges.write.mode("overwrite").json(f"{path}/links")
+    _replaced(graph.spark, path, {"nodes": nodes, "links": edges})
+
+
+def _replaced(spark: SparkSession, path: str, tables: dict[str, DataFrame]) -> None:
+    """Writes tables into a new folder, which then takes the place of those of the same names below path."""
+    stage = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        df.write.json(f"{stage}/{name}")
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    fs = of(stage).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(of(path))
+    for name in tables:
+        if fs.exists(of(f"{path}/{name}")) and not fs.rename(of(f"{path}/{name}"), of(f"{stage}/{name}.old")):
+            raise OSError(f"cannot set aside {path}/{name}")
+    for name in tables:
+        if not fs.rename(of(f"{stage}/{name}"), of(f"{path}/{name}")):
+            raise OSError(f"cannot put {name} into {path}")
+    fs.delete(of(stage), True)
 
 
 def write_reviews(graph: Graph, path: str) -> None:
-    graph.reviews.write.mode("overwrite").json(f"{path}/reviews")
-    graph.audit.write.mode("overwrite").json(f"{path}/audit")
+    """The decisions and their log, line by line, under path/reviews and path/audit."""
+    _replaced(graph.spark, path, {"reviews": graph.reviews, "audit": graph.audit})
 
 
 def backup(graph: Graph, path: str, stamp: str) -> str:

@@ -69,4 +69,12 @@ def test_registry(spark):
     assert [x.errors for x in got] == [[], ["subject type does not satisfy the domain"], ["review action is not permitted"], ["polarity is not a permitted value"], ["value is no member of the set"], [], ["predicate is unknown"]]
     assert got[2].review_action == "PROPOSE_FOR_REVIEW"
     pool = types.select("id")
-    assert [x.repaired for x in registry.repaired(spark.createDataFrame([("z:bird",), ("t:A",), ("q",)], "value string"), pool).orderBy("value").collect()] == ["q", "t:A", "t:B"]
+    assert [x.repaired for x in registry.repaired(spark.createDataFrame([("z:b",), ("t:A",), ("q",)], "value string"), pool).orderBy("value").collect()] == ["q", "t:A", "t:B"]
+
+
+def test_chains_of_any_depth_are_whole(spark):
+    types = spark.createDataFrame([(f"t{i}", f"t{i - 1}" if i else None) for i in range(100)] + [("x", "y"), ("y", "z"), ("z", "x"), ("own", "own"), ("lost", "nowhere")], "id string, parent_id string")
+    got = {(r.id, r.ancestor): r.depth for r in registry.ancestors(types).collect()}
+    assert {k: v for k, v in got.items() if k[0][0] == "t"} == {(f"t{i}", f"t{j}"): i - j for i in range(100) for j in range(i + 1)}
+    assert {k: v for k, v in got.items() if k[0] in "xyz"} == {(a, b): ("xyz".index(b) - "xyz".index(a)) % 3 for a in "xyz" for b in "xyz"}
+    assert (got["own", "own"], got["lost", "nowhere"], got["lost", "lost"]) == (0, 1, 0)
