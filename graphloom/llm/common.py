@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
+
+from ..functions.lineage import shared_folder
 
 U64 = np.uint64
 #: Odd multipliers of the splitmix64 finaliser.
@@ -27,27 +30,20 @@ _POWERS: dict[str, np.ndarray] = {}
 
 # --- tables in the shared folder -------------------------------------------------------------------------------------
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where that is unset (tests), a temporary one."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = spark.conf.get("spark.graphloom.testdir", None)
-        if not where:
-            where = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-            spark.conf.set("spark.graphloom.testdir", where)
-    return where.rstrip("/")
-
-
-#: Rows of an Arrow batch at most: texts are long, and a batch is held on both sides of the pipe to Python.
-BATCH_ROWS = 1000
+#: Bytes of an Arrow batch at which no more rows are added: texts are long, and a batch is held on both sides of the pipe to Python.
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batches to BATCH_ROWS where they are larger."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lowers the session's bound on an Arrow batch to BATCH_BYTES where it is larger.
+
+    The setting is read when a plan runs, which may be after this library has returned it, so it cannot be put back.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    digits, unit = re.match(r"(-?\d+)\s*([kmgt]?)", spark.conf.get(key).lower()).groups()
+    now = int(digits) << 10 * " kmgt".index(unit or " ")
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 class Stash:
@@ -55,7 +51,7 @@ class Stash:
 
     def __init__(self, spark: SparkSession):
         small_batches(spark)
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/graphloom-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.n = spark, f"{shared_folder(spark)}/graphloom-{uuid.uuid4().hex}", 0
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -74,8 +70,29 @@ class Stash:
             for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
                 self._remove(path)
 
-    def drop(self) -> None:
-        self._remove(self.root)
+    def leave(self, *tables: DataFrame) -> None:
+        """Removes all tables but these, which later plans read."""
+        stay = {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for t in tables for f in t.inputFiles()}
+        for k in range(1, self.n + 1):
+            if f"t{k}" not in stay:
+                self._remove(f"{self.root}/t{k}")
+
+
+# --- joins whose keys may be hot ---
+
+#: Rows up to which with_small broadcasts a table, after counting it; parts that a key is split into beyond that.
+MOST_SENT, SALTS = 500_000, 16
+
+
+def with_small(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with a table that has one row for each value of the keys, of which one may hold very many of the rows.
+
+    A table of at most MOST_SENT rows, by count, is broadcast; the rows of one key meet a longer one in SALTS tasks.
+    """
+    if table.count() <= MOST_SENT:
+        return rows.join(F.broadcast(table), keys)
+    salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(*[f.name for f in rows.schema if isinstance(f.dataType, AtomicType)]), F.lit(SALTS)).cast("int")).join(salted, [*keys, "__salt"]).drop("__salt")
 
 
 # --- bitmaps ---------------------------------------------------------------------------------------------------------
@@ -160,12 +177,26 @@ def powers(name: str, base: int, n: int) -> np.ndarray:
 _INVERSE = pow(int(BASE), -1, 1 << 64)
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, from one prefix sum of the polynomial."""
+def prefix_sums(buf: np.ndarray) -> np.ndarray:
+    """Sums of the polynomial's terms before each byte, and over all."""
     sums = np.zeros(len(buf) + 1, dtype=np.uint64)
     np.cumsum((buf.astype(np.uint64) + U64(1)) * powers("up", int(BASE), len(buf)), out=sums[1:])
-    value = (sums[ends] - sums[starts]) * powers("down", _INVERSE, len(buf) + 1)[starts]
-    return mix(value + (ends - starts).astype(np.uint64) * GOLDEN)
+    return sums
+
+
+def span_values(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The polynomial of each byte span."""
+    return (sums[ends] - sums[starts]) * powers("down", _INVERSE, len(sums))[starts]
+
+
+def window_values(sums: np.ndarray, k: int, at: np.ndarray) -> np.ndarray:
+    """The polynomial of the windows of k bytes at some places."""
+    return (sums[at + k] - sums[at]) * powers("down", _INVERSE, len(sums))[at]
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte span, from one prefix sum of the polynomial."""
+    return mix(span_values(prefix_sums(buf), starts, ends) + (ends - starts).astype(np.uint64) * GOLDEN)
 
 
 def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
