@@ -2,29 +2,32 @@
 
 Every document gets a rate, the words that the mix takes of it over its size. Among the rates of at most MOST that meet
 each source's token target, those that stay closest to one common rate (least relative entropy) are tilted exponentially:
-rate = min(MOST, exp(tilt * size / scale)), scale being the source's mean size weighted by size. The convex dual has one tilt per source, found by damped Newton
-steps, each one pass over the histogram of sizes; no document table is read again. Rates are then rounded into whole
-copies: sizes are walked from the largest down, each taking the copies that bring the source's total nearest its running
+rate = min(MOST, exp(tilt * size / scale)), scale being the source's mean size weighted by size. The convex dual has one tilt per source, found by
+Newton steps over the cluster, each one aggregation of the histogram of sizes for all sources at once; no document table is read again. Rates are
+then rounded into whole copies: sizes are walked from the largest down, each taking the copies that bring the source's total nearest its running
 target, so that the last, smallest sizes settle what is left. Among documents of one source and size, the first in the
 order of a seeded digest get the copy more.
 
 Cases: null texts have size 0 and are taken as 0 words; null sources are a source of their own, last in order; targets
 that stand at MOST times their source's size are met by MOST copies of all; a source without words has target 0;
 rows that repeat are documents of their own; an empty table gives an empty result. The histogram holds one row for each
-source and size, however many documents share it, and its sources are worked on side by side. The table of sources goes
+source and size, however many documents share it; a source's rows of it, as many as it has different sizes, are rounded in one task. Tables by source and size go to
+the documents whole if they are short by count, else in a join that is salted, as many documents may share one. The table of sources goes
 through one task, for its order.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import Stash, slices, word_spans
+from .common import Stash, slices, with_small, word_spans
 from .ranks import ranked, unit
 
 #: Weights by the source's place in order, the mix's size over all sizes, most copies of a document.
@@ -61,25 +64,43 @@ def targets(sources: DataFrame) -> DataFrame:
     return t.withColumn("target", F.when(F.col("stops") | F.col("common").isNull(), F.col("cap")).otherwise(F.col("common") * F.col("weight"))).select("stratum", "total", "target")
 
 
-def newton(size: np.ndarray, count: np.ndarray, target: float) -> np.ndarray:
-    """The rates of sizes that meet the target. Its dual is convex in the tilt, so a bracket guards each Newton step."""
-    weight = size * count
-    total = weight.sum()
-    if total == 0 or target >= MOST * total:
-        return np.full(len(size), float(MOST) if total else 0.0)
-    x = size / (weight @ size / total)
-    low, high, tilt = -60.0 / x[size > 0].min(), np.log(MOST) / x[size > 0].min(), np.log(target / total)
-    tilt = min(max(tilt, low), high)
+def _raw() -> Column:
+    """The rate that a source's tilt gives to a size."""
+    return F.exp(F.least(F.col("tilt") * F.col("x"), F.lit(math.log(MOST))))
+
+
+def _exact(c: Column) -> Column:
+    """A sum that no order of rows changes."""
+    return F.sum(c.cast("decimal(38,10)")).cast("double")
+
+
+def tilts(histogram: DataFrame, aims: DataFrame, stash: Stash) -> DataFrame:
+    """(stratum, scale, tilt) of all sources at once; those at MOST times their size, or without words, have the greatest tilt.
+
+    The histogram (stratum, size, c) stays where it lies. A step is one aggregation of it by source, for the gap between the rates' words and
+    the target and for the gap's slope, and one row per source is written. The dual is convex in the tilt, so a bracket guards each Newton step.
+    """
+    h = histogram.where("size > 0")
+    scale = h.groupBy("stratum").agg((_exact(F.col("size") * F.col("size") * F.col("c")) / _exact(F.col("size") * F.col("c"))).alias("scale"), F.min("size").alias("least"))
+    most = F.lit(math.log(MOST)) * F.col("scale") / F.col("least")
+    begin = F.when(F.col("target") >= MOST * F.col("total"), most).otherwise(F.log(F.col("target") / F.col("total")))
+    state = aims.join(scale, "stratum").select("stratum", "target", "scale", (-60.0 * F.col("scale") / F.col("least")).alias("low"), most.alias("high"), begin.alias("tilt"), (F.col("target") >= MOST * F.col("total")).alias("done"))
+    state = stash.keep(state.withColumn("tilt", F.greatest("low", F.least("high", "tilt"))))
     for _ in range(STEPS):
-        raw = np.exp(np.minimum(tilt * x, np.log(MOST)))
-        gap = weight @ raw - target
-        if abs(gap) <= NEAR * target:
+        words_of, capped = F.col("size") * F.col("c"), F.col("tilt") * F.col("x") >= math.log(MOST)
+        rated = with_small(h, state.where("not done").select("stratum", "tilt", "scale"), ["stratum"]).withColumn("x", F.col("size") / F.col("scale"))
+        sums = rated.groupBy("stratum").agg(_exact(words_of * _raw()).alias("words"), _exact(F.when(~capped, words_of * F.col("x") * _raw()).otherwise(0.0)).alias("slope"))
+        s = state.join(sums, "stratum", "left").withColumn("gap", F.col("words") - F.col("target")).withColumn("done", F.col("done") | (F.abs("gap") <= NEAR * F.col("target")))
+        s = s.withColumn("low", F.when(F.col("gap") <= 0, F.col("tilt")).otherwise(F.col("low"))).withColumn("high", F.when(F.col("gap") > 0, F.col("tilt")).otherwise(F.col("high")))
+        step = F.when(F.col("slope") > 0, F.col("tilt") - F.col("gap") / F.col("slope"))
+        inside = F.coalesce((step > F.col("low")) & (step < F.col("high")), F.lit(False))
+        moved = F.when(F.col("done"), F.col("tilt")).when(inside, step).otherwise((F.col("low") + F.col("high")) / 2)
+        fresh = stash.keep(s.select("stratum", "target", "scale", "low", "high", moved.alias("tilt"), "done"))
+        stash.forget(state)
+        state = fresh
+        if state.where("not done").isEmpty():
             break
-        low, high = (low, tilt) if gap > 0 else (tilt, high)
-        slope = (weight * x)[tilt * x < np.log(MOST)] @ raw[tilt * x < np.log(MOST)]
-        step = tilt - gap / slope if slope > 0 else np.nan
-        tilt = step if low < step < high else (low + high) / 2
-    return raw
+    return state.select("stratum", "scale", "tilt")
 
 
 def copies(size: np.ndarray, count: np.ndarray, rate: np.ndarray) -> np.ndarray:
@@ -94,10 +115,9 @@ def copies(size: np.ndarray, count: np.ndarray, rate: np.ndarray) -> np.ndarray:
     return out
 
 
-def _balance(pdf: pd.DataFrame) -> pd.DataFrame:
+def _rounded(pdf: pd.DataFrame) -> pd.DataFrame:
     size, count = pdf["size"].to_numpy(float), pdf["c"].to_numpy(float)
-    rate = newton(size, count, float(pdf["target"].iloc[0]))
-    return pdf[["stratum", "size", "c"]].assign(copies=copies(size, count, rate))
+    return pdf[["stratum", "size", "c"]].assign(copies=copies(size, count, pdf["rate"].to_numpy(float)))
 
 
 def _marked(docs: DataFrame, seed: str) -> DataFrame:
@@ -112,9 +132,10 @@ def _decide(docs: DataFrame, seed: str) -> tuple[DataFrame, DataFrame, DataFrame
     stash = Stash(docs.sparkSession)
     base = stash.keep(_marked(docs.select("doc_id", "source", "text"), seed).select("doc_id", F.col("__size").alias("size"), F.col("__stratum").alias("stratum"), F.col("__key").alias("key")))
     n = base.count()
-    histogram = base.groupBy("stratum", "size").agg(F.count("*").alias("c"))
-    aims = stash.keep(targets(base.groupBy("stratum").agg(F.sum("size").alias("total"))))
-    plan = stash.keep(histogram.join(aims, "stratum").groupBy("stratum").applyInPandas(_balance, "stratum string, size long, c long, copies long"))
+    histogram = stash.keep(base.groupBy("stratum", "size").agg(F.count("*").alias("c")))
+    aims = stash.keep(targets(histogram.groupBy("stratum").agg(F.sum(F.col("size") * F.col("c")).alias("total"))))
+    rated = histogram.join(tilts(histogram, aims, stash), "stratum", "left").withColumn("x", F.col("size") / F.col("scale")).withColumn("rate", F.when(F.col("size") > 0, _raw()).otherwise(0.0))
+    plan = stash.keep(rated.groupBy("stratum").applyInPandas(_rounded, "stratum string, size long, c long, copies long"))
     return ranked(base, ["stratum", "size"], unit(F.col("key")), [F.col("key"), F.col("doc_id")], n, "rank"), aims, plan
 
 
@@ -122,7 +143,7 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """doc_id, size, source_size, target and taken of each row of (doc_id, source, text)."""
     placed, aims, plan = _decide(docs, seed)
     taken = F.expr("size * (copies div c + CASE WHEN rank < copies % c THEN 1 ELSE 0 END)")
-    return (placed.join(plan, ["stratum", "size"]).join(aims, "stratum")
+    return (with_small(with_small(placed, plan, ["stratum", "size"]), aims, ["stratum"])
             .select("doc_id", "size", F.col("total").cast("long").alias("source_size"), "target", taken.cast("long").alias("taken")))
 
 
@@ -134,9 +155,11 @@ def repeat(docs: DataFrame, seed: str = SEED) -> DataFrame:
     names = docs.columns
     inner = docs.toDF(*[n if n in ("doc_id", "source", "text") else f"__c{i}" for i, n in enumerate(names)])
     placed, _, plan = _decide(inner, seed)
-    last = (placed.join(plan, ["stratum", "size"]).groupBy("stratum", "size")
+    stash = Stash(docs.sparkSession)
+    last = (with_small(placed, plan, ["stratum", "size"]).groupBy("stratum", "size")
             .agg(F.first(F.expr("copies div c")).alias("__all"), F.max(F.expr("CASE WHEN rank < copies % c THEN key END")).alias("__last"))
             .toDF("__stratum", "__size", "__all", "__last"))
+    last = stash.keep(last)
     times = F.expr("__all + CASE WHEN __key <= __last THEN 1 ELSE 0 END")
-    out = _marked(inner, seed).join(last, ["__stratum", "__size"]).withColumn("__n", times).where("__n > 0")
+    out = with_small(_marked(inner, seed), last, ["__stratum", "__size"]).withColumn("__n", times).where("__n > 0")
     return out.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(inner.columns).toDF(*names)

@@ -2,7 +2,8 @@ import random
 
 import numpy as np
 
-from graphloom.llm import mixing
+from graphloom.llm import common, mixing
+from graphloom.llm.common import Stash
 
 SCHEMA = "doc_id long, text string, source string, size string, target long"
 
@@ -53,14 +54,41 @@ def test_targets_taken_and_reruns(spark):
     assert abs(sum(len((r.text or "").split()) for r in again.collect()) - sum(r.taken for r in got)) <= 6
 
 
-def test_rates_solve_the_dual():
+def bisected(size, count, target, most=2.0):
+    """The rates by plain bisection of the tilt."""
+    weight = size * count
+    if weight.sum() == 0 or target >= most * weight.sum():
+        return np.full(len(size), most if weight.sum() else 0.0)
+    low, high = -1e4, 1e4
+    for _ in range(300):
+        tilt = (low + high) / 2
+        rate = np.exp(np.minimum(tilt * size / size.max(), np.log(most)))
+        low, high = (low, tilt) if weight @ rate > target else (tilt, high)
+    return rate
+
+
+def test_tilts_equal_bisection(spark):
     size, count = np.array([1.0, 5, 20, 400]), np.array([9.0, 4, 3, 1])
-    for target in (1.0, 50, 489, 600, 900):
-        rate = mixing.newton(size, count, target)
-        assert abs((rate * size * count).sum() - target) < 1e-6 * target and rate.max() <= 2 + 1e-12
-        free = (rate < 1.999999) & (rate > 1e-300)  # smaller ones underflow
-        tilt = np.log(rate[free]) / size[free]
-        assert np.allclose(tilt, tilt[0], rtol=1e-6)
+    targets = {"a": 1.0, "b": 50.0, "c": 489.0, "d": 600.0, "e": 900.0, "one": 7.0, "full": 964.0}
+    rows = [(s, int(x), int(c)) for s in targets if s != "one" for x, c in zip(size, count, strict=True)] + [("one", 3, 4), ("empty", 0, 9)]
+    histogram = spark.createDataFrame(rows, "stratum string, size long, c long")
+    totals = {s: sum(x * c for q, x, c in rows if q == s) for s in [*targets, "empty"]}
+    aims = spark.createDataFrame([(s, t, targets.get(s, 0.0)) for s, t in totals.items()], "stratum string, total long, target double")
+    got = {r.stratum: r for r in mixing.tilts(histogram, aims, Stash(spark)).collect()}
+    assert set(got) == set(targets)
+    for s, target in targets.items():
+        x, c = (size, count) if s != "one" else (np.array([3.0]), np.array([4.0]))
+        rate = np.exp(np.minimum(got[s].tilt * x / got[s].scale, np.log(2)))
+        assert np.allclose(rate, bisected(x, c, target), rtol=1e-6, atol=1e-12) and abs((rate * x * c).sum() - target) <= 1e-8 * max(target, 1)
+
+
+def test_one_source_and_one_size(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "three words here", "hot", None, None) for i in range(4000)], SCHEMA)
+    for most in (common.MOST_SENT, 0):
+        monkeypatch.setattr(common, "MOST_SENT", most)
+        got = mixing.mix(df).collect()
+        assert sum(r.taken for r in got) == 18_000 and {r.taken for r in got} == {3, 6} and {r.target for r in got} == {18_000.0}
+        assert mixing.repeat(df).count() == 6000
 
 
 def test_empty_and_wordless_tables(spark):
