@@ -3,16 +3,18 @@
 A text is cut into sentences, each is normalised (lower case, everything but a-z and 0-9 to single spaces) and looked up
 among known licence sentences; what is found forms the text's sequence of sentence identifiers. Ordered rules over such
 sequences name the licences: at each place the first rule that matches takes its identifiers. A sentence may run over
-lines; one that is unknown as a whole is looked up line by line. Known sentences without a rule stay unnamed.
+lines, and ends before a line without a letter or digit; one that is unknown as a whole is looked up line by line. Known sentences without a
+rule stay unnamed. Where more than BETWEEN words of unknown sentences lie between two known ones, a mark parts them, so no rule reaches across.
 
 Only texts that hold one of STEMS are cut at all: every known sentence holds one. The table of sentences is fixed and
-small. Every stem is one word, so a line's end does not part it. Cases: null and empty texts have no licence; repeated rows give repeated rows; texts of any length are scanned
+small, and is looked up by a checksum first: a slot holds the few sentences of one remainder. Every stem is one word, so a line's end does not part it. Cases: null and empty texts have no licence; repeated rows give repeated rows; texts of any length are scanned
 whole, within their row; columns of the input other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -102,7 +104,11 @@ RULES = [
 ]
 STEMS = ["licen", "permission", "redistribut", "warrant", "copyright", "public", "reserved", "released", "distributed", "available"]
 #: Ends of sentences, and of lines.
-SENTENCE, LINE = r"[.!?]+[ \t\r\n]+|\n[ \t\r]*\n", r"\n"
+SENTENCE, LINE = r"[.!?]+[ \t\r\n]+|\n[^A-Za-z0-9\n]*\n", r"\n"
+#: Words of unknown sentences that may lie between two sentences of one notice, and the mark where more do.
+BETWEEN, APART = 60, "~"
+#: Slots of the table of known sentences.
+SLOTS = 2048
 
 
 def normal(sentence: str) -> str:
@@ -139,14 +145,33 @@ def _normal(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
 
+def _known(sentence: Column) -> Column:
+    """The identifier of a normalised sentence, or null."""
+    slots: list[list[tuple[str, str]]] = [[] for _ in range(SLOTS)]
+    for s, i in sorted(known().items()):
+        slots[zlib.crc32(s.encode()) % SLOTS].append((s, i))
+    empty = F.expr("cast(map() as map<string,string>)")
+    table = F.array(*[F.create_map(*[F.lit(x) for pair in slot for x in pair]) if slot else empty for slot in slots])
+    return F.element_at(F.get(table, F.crc32(sentence.cast("binary")) % SLOTS), sentence)
+
+
 def _identifiers(text: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in sorted(known().items()) for x in pair])
+    def piece(sentence: Column) -> Column:
+        return F.struct(_known(sentence).alias("id"), F.when(sentence == "", 0).otherwise(F.size(F.split(sentence, " "))).alias("words"))
 
     def of(sentence: Column) -> Column:
-        whole = F.element_at(table, _normal(sentence))
-        return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(F.split(sentence, LINE), lambda line: F.element_at(table, _normal(line))))
+        whole = piece(_normal(sentence))
+        return F.when(whole["id"].isNotNull(), F.array(whole)).otherwise(F.transform(F.split(sentence, LINE), lambda line: piece(_normal(line))))
+
+    def step(state: Column, x: Column) -> Column:
+        far = (state["between"] > BETWEEN) & (F.size(state["ids"]) > 0)
+        ids = F.concat(state["ids"], F.when(far, F.array(F.lit(APART), x["id"])).otherwise(F.array(x["id"])))
+        return (F.when(x["id"].isNull(), F.struct(state["ids"].alias("ids"), (state["between"] + x["words"]).alias("between")))
+                .otherwise(F.struct(ids.alias("ids"), F.lit(0).alias("between"))))
 
-    return F.filter(F.flatten(F.transform(F.split(text, SENTENCE), of)), lambda i: i.isNotNull())
+    pieces = F.flatten(F.transform(F.split(text, SENTENCE), of))
+    start = F.struct(F.expr("cast(array() as array<string>)").alias("ids"), F.lit(0).alias("between"))
+    return F.aggregate(pieces, start, step, lambda state: state["ids"])
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -157,6 +182,7 @@ def scan(docs: DataFrame) -> DataFrame:
     none = F.expr("cast(array() as array<string>)")
     out = docs.select("doc_id", F.when(may, _identifiers(text)).otherwise(none).alias("ids"))
     sequence = F.concat_ws("", F.transform("ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))))
+    named = F.filter("ids", lambda i: i != APART)
     out = out.select("doc_id", "ids", F.regexp_extract_all(sequence, F.lit("|".join(f"(?:{p})" for _, p in rules())), F.lit(0)).alias("found"))
 
     def name(run: Column) -> Column:
@@ -166,7 +192,7 @@ def scan(docs: DataFrame) -> DataFrame:
             case = case.when(run.rlike(f"^(?:{pattern})$"), licence)
         return case
 
-    return out.select("doc_id", F.concat_ws(",", F.array_distinct(F.transform("found", name))).alias("licenses"), F.size("found").cast("long").alias("n_notices"), F.concat_ws(" ", "ids").alias("sentence_ids"))
+    return out.select("doc_id", F.concat_ws(",", F.array_distinct(F.transform("found", name))).alias("licenses"), F.size("found").cast("long").alias("n_notices"), F.concat_ws(" ", named).alias("sentence_ids"))
 
 
 def oracle() -> str:
@@ -182,8 +208,11 @@ d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FRO
 s AS (SELECT rid, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM (SELECT rid, regexp_split_to_array(text, '{sentence}') AS ss FROM d)),
 whole AS (SELECT rid, i, s.s, id FROM s LEFT JOIN known k ON k.s = {norm.format('s.s')}),
 l AS (SELECT rid, i, unnest(ls) AS l, generate_subscripts(ls, 1) AS j FROM (SELECT rid, i, regexp_split_to_array(s, '{line}') AS ls FROM whole WHERE id IS NULL)),
-ids AS (SELECT rid, i, 0 AS j, id FROM whole WHERE id IS NOT NULL UNION ALL SELECT rid, i, j, k.id FROM l JOIN known k ON k.s = {norm.format('l.l')}),
-q AS (SELECT rid, string_agg('<' || id || '>', '' ORDER BY i, j) AS q, string_agg(id, ' ' ORDER BY i, j) AS sentence_ids FROM ids GROUP BY rid),
+parts AS (SELECT rid, i, 0 AS j, id, 0 AS words FROM whole WHERE id IS NOT NULL UNION ALL
+    SELECT rid, i, j, k.id, CASE WHEN k.id IS NOT NULL OR l.n = '' THEN 0 ELSE len(string_split(l.n, ' ')) END FROM (SELECT *, {norm.format('l')} AS n FROM l) l LEFT JOIN known k ON k.s = l.n),
+run AS (SELECT *, sum(words) OVER (PARTITION BY rid ORDER BY i, j) AS so_far FROM parts),
+ids AS (SELECT rid, i, j, id, so_far - lag(so_far) OVER (PARTITION BY rid ORDER BY i, j) AS between FROM run WHERE id IS NOT NULL),
+q AS (SELECT rid, string_agg(CASE WHEN between > {BETWEEN} THEN '<{APART}>' ELSE '' END || '<' || id || '>', '' ORDER BY i, j) AS q, string_agg(id, ' ' ORDER BY i, j) AS sentence_ids FROM ids GROUP BY rid),
 f AS (SELECT doc_id, coalesce(sentence_ids, '') AS sentence_ids, regexp_extract_all(coalesce(q, ''), '{every}') AS found FROM d LEFT JOIN q USING (rid))
 SELECT doc_id, sentence_ids, len(found)::BIGINT AS n_notices,
     coalesce(array_to_string(list_filter(names, lambda n, i: list_position(names, n) = i), ','), '') AS licenses

@@ -17,6 +17,18 @@ APACHE = """Some words first.
  * See the License for the specific language governing permissions and
  * limitations under the License.
 """
+GPL = """# Copyright 2024 Someone
+#
+# This program is free software: you can redistribute it and/or modify it
+# under the terms of the GNU General Public License as published by the Free
+# Software Foundation, either version 3 of the License, or (at your option)
+# any later version.
+#
+# This program is distributed in the hope that it will be useful, but WITHOUT
+# ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS
+# FOR A PARTICULAR PURPOSE.
+"""
+BSD = [licenses.SENTENCES[k][0] for k in ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")]
 TEXTS = {
     "": "", "No notice here, though it speaks of a license. And of warranty.": "",
     "Some words.\nReleased under the MIT License.\nMore words": "MIT",
@@ -25,16 +37,27 @@ TEXTS = {
     APACHE: "Apache-2.0", MIT: "MIT",
     f"{MIT}\n\nReleased under the BSD 3-Clause License. Released under the MIT License.": "MIT,BSD-3-Clause",
     "// SPDX-License-Identifier: LGPL-3.0": "LGPL-3.0",
+    GPL: "GPL-3.0-or-later",
+    BSD[0] + ".\n" + BSD[3] + ".": "BSD-3-Clause",
+    BSD[0] + ".\n" + "Something else is said here at length. " * 2000 + BSD[3] + ".": "BSD-2-Clause",
+    BSD[0] + ".\n" + "one two three four five\n" * 12 + BSD[3] + ".": "BSD-3-Clause",
+    BSD[0] + ".\n" + "one two three four five\n" * 13 + BSD[3] + ".": "BSD-2-Clause",
     "You may obtain a copy. See the License for the specific language governing permissions and limitations under the License.": "",
 }
 
 
 def brute(text):
-    known, ids = licenses.known(), []
+    known, ids, sequence, between = licenses.known(), [], "", 0
     for s in re.split(licenses.SENTENCE, text or ""):
         n = licenses.normal(s)
-        ids += [known[n]] if n in known else [known[licenses.normal(x)] for x in s.split("\n") if licenses.normal(x) in known]
-    sequence, names, at = "".join(f"<{i}>" for i in ids), [], 0
+        for piece in [n] if n in known else [licenses.normal(x) for x in s.split("\n")]:
+            if piece not in known:
+                between += len(piece.split())
+                continue
+            sequence += ("<~>" if ids and between > licenses.BETWEEN else "") + f"<{known[piece]}>"
+            ids.append(known[piece])
+            between = 0
+    names, at = [], 0
     while at < len(sequence):
         for name, pattern in licenses.rules():
             if m := re.compile(pattern).match(sequence, at):
