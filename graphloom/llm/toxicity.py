@@ -86,6 +86,20 @@ def noisy_or(p: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return -np.expm1(np.bincount(row, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=rows))
 
 
+def gradient(local: np.ndarray, word: np.ndarray, row: np.ndarray, toxic: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The slope of the documents' summed log loss by each weight; row: each sentence's document.
+
+    With d = 1 - prod(1 - p), a sentence's slope by its own sum is p for a clean document, and -p * (1 - d) / d for a toxic one.
+    """
+    p = sentence_scores(local, word, len(row), weights)
+    doc = np.clip(noisy_or(p, row, len(toxic)), 1e-6, 1 - 1e-6)
+    blame = np.where(toxic > 0, -(1 - doc) / doc, 1.0)[row] * p
+    out = np.empty_like(weights)
+    out[:-1] = np.bincount(word, weights=blame[local], minlength=len(weights) - 1)
+    out[-1] = blame.sum()
+    return out
+
+
 def fit(texts: list[str], labels: np.ndarray) -> np.ndarray:
     """The words' weights and the bias; zero weights and a bias that gives the rate if one kind of label is missing."""
     weights = np.zeros((1 << BITS) + 1)
@@ -113,13 +127,7 @@ def fit(texts: list[str], labels: np.ndarray) -> np.ndarray:
             local = np.concatenate([x[0] + b for x, b in zip(bags, base, strict=False)])
             word = np.concatenate([x[1] for x in bags])
             row = np.repeat(np.arange(len(chosen)), n_sent)
-            p = sentence_scores(local, word, base[-1], weights)
-            doc = np.clip(noisy_or(p, row, len(chosen)), 1e-6, 1 - 1e-6)
-            blame = np.where(toxic[chosen] > 0, -(1 - doc) / doc, 1.0)[row] * p
-            g = np.empty_like(weights)
-            g[:-1] = np.bincount(word, weights=blame[local], minlength=1 << BITS)
-            g[-1] = blame.sum()
-            g = g / len(chosen) + RIDGE * weights
+            g = gradient(local, word, row, toxic[chosen], weights) / len(chosen) + RIDGE * weights
             step += 1
             slope = 0.9 * slope + 0.1 * g
             square = 0.999 * square + 0.001 * g * g

@@ -1,13 +1,71 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
 
-from graphloom.llm import toxicity
+from graphloom.llm import common, toxicity
 
 SCHEMA = "doc_id long, text string, score double, toxic int"
 
 
+def scalar_features(text):
+    """Each sentence's hashed words and prefixes, by plain string work: the first bits of a polynomial hash."""
+    out = []
+    for sentence in re.split(rb"(?<=[.!?])(?=[\t-\r ])|(?<=\n)", text.encode()):
+        found = []
+        for word in re.findall(rb"[A-Za-z0-9\x80-\xff]+", sentence):
+            word = word.lower()
+            for part in [word, *(word[:k] for k in toxicity.PREFIXES if len(word) > k)]:
+                value = sum((b + 1) * pow(int(common.BASE), i, 1 << 64) for i, b in enumerate(part)) % (1 << 64)
+                found.append(int(common.mix(np.array([(value + len(part) * int(common.GOLDEN)) % (1 << 64)], dtype=np.uint64))[0]) >> 64 - toxicity.BITS)
+        if found:
+            out.append(sorted(found))
+    return out
+
+
+def scalar_score(text, weights):
+    """1 - prod(1 - p) over the sentences."""
+    clean = 1.0
+    for features in scalar_features(text):
+        clean *= 1 - 1 / (1 + math.exp(-max(-30, min(30, sum(weights[f] for f in features) + weights[-1]))))
+    return 1 - clean
+
+
+def test_scores_equal_the_scalar_ones(spark):
+    rng = np.random.default_rng(4)
+    weights = np.append(rng.normal(0, 0.4, 1 << toxicity.BITS), -2.0).astype(np.float32).astype(float)
+    texts = ["", "One word", "Ab cd. Éf gh! ij\nkl? . mn", "no end.of it", "A" * 40 + " tail.\n\nNext\tone!? Yes", " . ! ?", "über Straße 日本語 x1"] + [t for _, t, _ in corpus(20, 9)]
+    for t in texts:
+        raw = np.frombuffer(t.encode(), dtype=np.uint8)
+        owner, feature, *_ = toxicity.tokens(raw, np.array([0, len(raw)]))
+        assert [sorted(feature[owner == s].tolist()) for s in range(owner.max(initial=-1) + 1)] == scalar_features(t)
+    df = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)] + [(99, "long words here. " * 60_000, None, None)], SCHEMA)
+    got = {r.doc_id: r for r in toxicity.score(df, weights).collect()}
+    for i, t in enumerate(texts):
+        assert abs(got[i].score - scalar_score(t, weights)) < 1e-9 and got[i].predicted == int(got[i].score >= 0.5)
+    assert got[99].n_sentences == 60_000
+
+
+def test_gradient_equals_differences():
+    rng = np.random.default_rng(1)
+    local, word, row = np.array([0, 0, 1, 2, 2, 3, 4]), np.array([1, 2, 2, 0, 3, 3, 1]), np.array([0, 0, 1, 1, 2])
+    toxic, weights = np.array([1.0, 0.0, 1.0]), rng.normal(0, 1, 6)
+
+    def loss(w):
+        clean = [1.0] * 3
+        for s, d in enumerate(row):
+            clean[d] *= 1 - 1 / (1 + math.exp(-(w[word[local == s]].sum() + w[-1])))
+        return -sum(math.log(1 - c) if t else math.log(c) for c, t in zip(clean, toxic, strict=True))
+
+    got = toxicity.gradient(local, word, row, toxic, weights)
+    for k in range(6):
+        step = np.zeros(6)
+        step[k] = 1e-6
+        assert abs(got[k] - (loss(weights + step) - loss(weights - step)) / 2e-6) < 1e-6
+
+
 def corpus(n, seed):
     rng = random.Random(seed)
     for i in range(n):
