@@ -53,7 +53,7 @@ def ancestors(types: DataFrame) -> DataFrame:
 def satisfies(pairs: DataFrame, chain: DataFrame) -> DataFrame:
     """pairs (type_id, allowed) with ok: one of the allowed types is the type or an ancestor; an empty list allows any."""
     lines = chain.groupBy(F.col("id").alias("type_id")).agg(F.collect_set("ancestor").alias("line"))
-    return pairs.join(F.broadcast(lines), "type_id", "left").withColumn("ok", (F.size("allowed") == 0) | F.coalesce(F.arrays_overlap("allowed", F.coalesce("line", F.array("type_id"))), F.lit(False))).drop("line")
+    return pairs.join(lines, "type_id", "left").withColumn("ok", (F.size("allowed") == 0) | F.coalesce(F.arrays_overlap("allowed", F.coalesce("line", F.array("type_id"))), F.lit(False))).drop("line")
 
 
 def extractable(types: DataFrame) -> DataFrame:
@@ -72,8 +72,8 @@ def selection(registry: Registry, modules: list[str] | None = None, types: list[
     rel = registry.relations.join(member.where("kind = 'relation'").select(F.col("member_id").alias("id")).distinct(), "id", "left_semi")
     if relations:
         rel = rel.where(F.col("id").isin(*relations))
-    covered = ancestors(registry.types).join(F.broadcast(chosen), "id", "left_semi").agg(F.collect_set("ancestor").alias("covered"))
-    j = rel.crossJoin(F.broadcast(covered))
+    covered = ancestors(registry.types).join(chosen, "id", "left_semi").agg(F.collect_set("ancestor").alias("covered"))
+    j = rel.withColumn("one", F.lit(1)).join(covered.withColumn("one", F.lit(1)), "one").drop("one")
     open_end = lambda c: (F.size(c) > 0) & ~F.arrays_overlap(c, "covered")
     none = F.size("covered") == 0
     reason = (F.when(F.col("model_action") == HOST_ONLY, "host derived only").when(none | open_end("domain"), "no selected type satisfies its domain")
@@ -90,7 +90,7 @@ def repaired(values: DataFrame, pool: DataFrame) -> DataFrame:
     """values (value) with repaired: the pool's id of the same local name, if the value is not in the pool and only one has it."""
     unique = pool.select("id", local_name("id").alias("local")).groupBy("local").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n = 1").select("local", "id")
     v = values.withColumn("v", F.trim("value")).withColumn("local", local_name("v"))
-    j = v.join(F.broadcast(pool.select(F.col("id").alias("v"), F.lit(True).alias("known"))), "v", "left").join(F.broadcast(unique), "local", "left")
+    j = v.join(pool.select(F.col("id").alias("v"), F.lit(True).alias("known")), "v", "left").join(unique, "local", "left")
     keep = F.coalesce("known", F.lit(False)) | (F.col("v") == "") | (F.col("v") == UNRESOLVED)
     return j.withColumn("repaired", F.when(keep, F.col("v")).otherwise(F.coalesce("id", "v"))).drop("v", "local", "known", "id")
 
@@ -98,15 +98,15 @@ def repaired(values: DataFrame, pool: DataFrame) -> DataFrame:
 def validate(records: DataFrame, registry: Registry, modules: list[str] | None = None) -> DataFrame:
     """records (doc_id, class, text, attributes, ord) with errors (sorted strings), valid, and review_action as it must stand.
 
-    The registry is small and goes to the records; every record is judged in its own row.
+    A registry that is small is broadcast by its size as the planner finds it; every record is judged in its own row.
     """
     types, relations, _ = selection(registry, modules)
     a = lambda k: F.trim(F.coalesce(F.element_at("attributes", k), F.lit("")))
     chain = ancestors(registry.types).groupBy("id").agg(F.collect_set("ancestor").alias("line"))
     t = registry.types.join(types.withColumn("chosen", F.lit(True)), "id", "left").join(chain, "id", "left")
-    side = lambda p: F.broadcast(t.select(F.col("id").alias(f"{p}_id"), F.col("line").alias(f"{p}_line"), F.coalesce("chosen", F.lit(False)).alias(f"{p}_chosen"), F.col("review_required").alias(f"{p}_review")))
+    side = lambda p: t.select(F.col("id").alias(f"{p}_id"), F.col("line").alias(f"{p}_line"), F.coalesce("chosen", F.lit(False)).alias(f"{p}_chosen"), F.col("review_required").alias(f"{p}_review"))
     r = registry.relations.join(relations.withColumn("chosen", F.lit(True)), "id", "left").join(registry.value_sets.select(F.col("id").alias("value_set"), "closed", "values"), "value_set", "left")
-    r = F.broadcast(r.select(F.col("id").alias("p_id"), "domain", "range", "value_set", "model_action", "closed", "values", F.coalesce("chosen", F.lit(False)).alias("p_chosen"), F.lit(True).alias("p_known")))
+    r = r.select(F.col("id").alias("p_id"), "domain", "range", "value_set", "model_action", "closed", "values", F.coalesce("chosen", F.lit(False)).alias("p_chosen"), F.lit(True).alias("p_known"))
     j = (records.withColumn("e_id", a("type_id")).withColumn("s_id", a("subject_type_id")).withColumn("o_id", a("object_type_id")).withColumn("p_id", a("predicate_id"))
          .join(side("e"), "e_id", "left").join(side("s"), "s_id", "left").join(side("o"), "o_id", "left").join(r, "p_id", "left"))
     is_rel = F.col("class") == "relationship"
@@ -159,6 +159,6 @@ def draft(registry: Registry, text: str, n: int = 12) -> tuple[DataFrame, DataFr
     """Types and relations that a description suggests; a relation gains 2 for every end that a suggested type covers. Nothing is saved."""
     t = suggest(registry.types.withColumnRenamed("id", "key"), text, {"label": 4.0, "key": 2.0}, n=n)
     ends = registry.relations.select(F.col("id").alias("key"), F.explode(F.array_union("domain", "range")).alias("end"))
-    boosts = ends.join(F.broadcast(t.select(F.col("key").alias("end"))), "end", "left_semi").select("key", F.lit(2.0).alias("bonus"))
+    boosts = ends.join(t.select(F.col("key").alias("end")), "end", "left_semi").select("key", F.lit(2.0).alias("bonus"))
     r = suggest(registry.relations.withColumnRenamed("id", "key"), text, {"label": 4.0, "key": 2.0}, boosts=boosts, n=n)
     return t.select("key", "label", "score"), r.select("key", "label", "score")

@@ -21,7 +21,7 @@ def _scan(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
 def _attributes(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """attrs of rows (k, data): each value under its key's name, in its type's canonical text; empty values go."""
     d = rows.select("k", F.explode("data").alias("d")).select("k", F.col("d._key").alias("key"), F.col("d._VALUE").alias("value"))
-    named = d.join(F.broadcast(keys), "key", "left").withColumn("value", coerce("value", F.coalesce("type", F.lit("string")))).where("value is not null")
+    named = d.join(keys, "key", "left").withColumn("value", coerce("value", F.coalesce("type", F.lit("string")))).where("value is not null")
     got = named.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce("name", "key").alias("n"), "value"))).alias("attrs"))
     return rows.drop("data").join(got, "k", "left").withColumn("attrs", F.coalesce("attrs", F.expr("cast(map() as map<string,string>)")))
 
