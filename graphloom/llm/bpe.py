@@ -25,7 +25,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, trimmed
 
 #: Code points of a chunk, and of the part that it shares with the next.
 CHUNK, OVERLAP = 1 << 15, 1 << 10
@@ -119,7 +119,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = True
     """Per row of (doc_id, text): n_tokens, hashes of ids and of the decoded bytes, and the ids (little-endian uint32)."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    whole = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= chunk).mapInArrow(_encode_whole(vocabulary, pattern, with_ids), OUT)
+    whole = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= chunk).mapInArrow(trimmed(_encode_whole(vocabulary, pattern, with_ids)), OUT)
     # rows with equal id and text are encoded once, then counted out again
     long = (rows.where(F.length("text") > chunk).groupBy("doc_id", F.xxhash64("text").alias("copy"), F.length("text").alias("n"))
             .agg(F.first("text").alias("text"), F.count("*").alias("times"))
@@ -127,7 +127,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = True
     chunks = (long.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(chunk))))
               .select("copy", (F.col("at") / chunk).cast("int").alias("k"), F.col("at").cast("long").alias("at"), F.expr(f"substring(text, at + 1, {chunk + overlap})").alias("chunk"))
               .repartition("copy", "k"))
-    marks = chunks.mapInArrow(_boundaries(pattern, chunk, overlap), "copy long, k int, head array<long>, tail array<long>")
+    marks = chunks.mapInArrow(trimmed(_boundaries(pattern, chunk, overlap)), "copy long, k int, head array<long>, tail array<long>")
     ahead = marks.select("copy", (F.col("k") - 1).alias("k"), "head")
     cuts = (marks.select("copy", "k", "tail").join(ahead, ["copy", "k"])
             .select("copy", F.array_max(F.array_intersect("tail", "head")).alias("cut")).where("cut is not null")
@@ -136,11 +136,11 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = True
               .withColumn("cuts", F.array_distinct(F.concat(F.array(F.lit(0).cast("long")), F.coalesce("cuts", F.expr("cast(array() as array<bigint>)")), F.array(F.col("n").cast("long")))))
               .select("copy", "cuts", "text", F.posexplode(F.slice("cuts", F.lit(1), F.size("cuts") - 1)).alias("k", "low"))
               .select("copy", "k", F.expr("substring(text, cast(low as int) + 1, cast(cuts[k + 1] - low as int))").alias("piece"))
-              .repartition("copy", "k").mapInArrow(_encode_pieces(vocabulary, pattern), "copy long, k int, ids binary"))
+              .repartition("copy", "k").mapInArrow(trimmed(_encode_pieces(vocabulary, pattern)), "copy long, k int, ids binary"))
     joined = (pieces.groupBy("copy").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"]).alias("parts"))
               .join(long.select("copy", "doc_id", "times"), "copy")
               .select("doc_id", "parts", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("_"))
-              .select("doc_id", "parts").mapInArrow(_digest_rows(vocabulary, pattern, with_ids), OUT))
+              .select("doc_id", "parts").mapInArrow(trimmed(_digest_rows(vocabulary, pattern, with_ids)), OUT))
     return whole.unionByName(joined)
 
 

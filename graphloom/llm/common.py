@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ U64 = np.uint64
 MIX_A, MIX_B, GOLDEN = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0x9E3779B97F4A7C15)
 BASE = U64(0x5851F42D4C957F2D)
 #: Bytes of text that are worked on at once; numpy's temporary arrays take some tens of times as much.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -31,7 +32,7 @@ _POWERS: dict[str, np.ndarray] = {}
 # --- tables in the shared folder -------------------------------------------------------------------------------------
 
 #: Bytes of an Arrow batch at which no more rows are added: texts are long, and a batch is held on both sides of the pipe to Python.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -46,6 +47,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which gives freed memory back to the system when it ends: Python workers stay for later tasks, several to an executor."""
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+        if trim is not None:
+            trim(0)
+    return wrapped
+
+
 class Stash:
     """Tables written to the shared folder: they cut lineage, outlive executors, and go when drop() is called."""
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import GOLDEN, U64, Stash, bitmap, column_bytes, distinct, lowered, mix, shingles, slices, within
+from .common import GOLDEN, U64, Stash, bitmap, column_bytes, distinct, lowered, mix, shingles, slices, trimmed, within
 from .components import components
 
 M, B, A, TOP = 256, 1.001, 20.0, (1 << 16) - 1
@@ -273,7 +273,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, k: int, lower: bool, num: int,
               .select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("role"), F.col("a").alias("b"), "text"))
     rows = members.select("a", "copy", "role", "b", "text").union(pivots)
     parts = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return stash.keep(rows.repartition(parts, "a", "copy").sortWithinPartitions("a", "copy", "role").mapInArrow(_confirmed(k, lower, num, den), "a long, b long"))
+    return stash.keep(rows.repartition(parts, "a", "copy").sortWithinPartitions("a", "copy", "role").mapInArrow(trimmed(_confirmed(k, lower, num, den)), "a long, b long"))
 
 
 def _blocks(rows: DataFrame, group: str, block: int) -> DataFrame:
@@ -288,7 +288,7 @@ def _dealt(rows: DataFrame, group: str, parts: int, fields: list[str], run, stas
     everyone = rows.select(group, F.expr("pmod(xxhash64(h), blocks)").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("j"), F.lit(1).alias("role"), *fields)
     outside = (rows.where("label <> mode")
                .select(group, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.expr("pmod(xxhash64(h, 1), rest)").cast("int").alias("j"), F.lit(0).alias("role"), *fields))
-    return stash.keep(everyone.union(outside).repartition(parts, group, "i", "j").sortWithinPartitions(group, "i", "j", "role").mapInArrow(run, "a long, b long").distinct())
+    return stash.keep(everyone.union(outside).repartition(parts, group, "i", "j").sortWithinPartitions(group, "i", "j", "role").mapInArrow(trimmed(run), "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, k: int, num: int, den: int, lower: bool = True) -> DataFrame:
@@ -299,17 +299,17 @@ def near_duplicates(docs: DataFrame, k: int, num: int, den: int, lower: bool = T
     r, bands = banding(threshold)
     least = least_estimate(threshold)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = stash.keep(rows.mapInArrow(_sketch(k, lower), "doc_id long, n long, h long, h2 long, sig binary"))
+    sketched = stash.keep(rows.mapInArrow(trimmed(_sketch(k, lower)), "doc_id long, n long, h long, h2 long, sig binary"))
     # nodes: equal sets are one, named by the first hash and led by the least doc_id
     full = sketched.where("n > 0 and doc_id is not null")
     classes = stash.keep(full.groupBy("h", "h2").agg(F.min("doc_id").alias("lead")))
     nodes = stash.keep(full.select("doc_id", "n", "h", "h2", "sig").join(classes.select(F.col("h").alias("ch"), F.col("h2").alias("ch2"), F.col("lead")), (F.col("doc_id") == F.col("lead")) & (F.col("h") == F.col("ch")) & (F.col("h2") == F.col("ch2")))
                        .dropDuplicates(["lead", "h", "h2"]).select("h", "lead", "n", "sig"))
-    banded = stash.keep(nodes.select("h", "sig").mapInArrow(_bands(r, bands), "h long, bk long"))
+    banded = stash.keep(nodes.select("h", "sig").mapInArrow(trimmed(_bands(r, bands)), "h long, bk long"))
     buckets = stash.keep(banded.groupBy("bk").agg(F.count("*").alias("c"), F.min("h").alias("pivot"), F.max("h").alias("other")).where("c > 1"))
     # the members of larger buckets are made again, as far as a bitmap of the buckets lets them through
     large = buckets.where("c > 2").select("bk", "pivot")
-    crowded = stash.keep(nodes.select("h", "sig").mapInArrow(_bands(r, bands, bitmap(large, "bk")), "h long, bk long").join(large, "bk"))
+    crowded = stash.keep(nodes.select("h", "sig").mapInArrow(trimmed(_bands(r, bands, bitmap(large, "bk"))), "h long, bk long").join(large, "bk"))
     star = (buckets.where("c = 2").select(F.col("pivot").alias("a"), F.col("other").alias("b"))
             .union(crowded.where("h <> pivot").select(F.col("pivot").alias("a"), F.col("h").alias("b"))).distinct())
     star = stash.keep(star)
@@ -323,7 +323,7 @@ def near_duplicates(docs: DataFrame, k: int, num: int, den: int, lower: bool = T
     stash.forget(nodes)
     sigs = sized.select("h", "n", "sig")
 
-    likely = stash.keep(star.join(sigs.toDF("a", "na", "sa"), "a").join(sigs.toDF("b", "nb", "sb"), "b").mapInArrow(_estimated(least), "a long, b long"))
+    likely = stash.keep(star.join(sigs.toDF("a", "na", "sa"), "a").join(sigs.toDF("b", "nb", "sb"), "b").mapInArrow(trimmed(_estimated(least)), "a long, b long"))
     links = _confirm(likely, texts, k, lower, num, den, stash)
     grown, clusters = components(links, stash), components(likely, stash)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)

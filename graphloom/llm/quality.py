@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, U64, mix, powers, slices, small_batches, span_hashes, word_spans
+from .common import BASE, U64, mix, powers, slices, small_batches, span_hashes, trimmed, word_spans
 
 #: Most coverage by n, and of repeated lines: twice the usually published figures, which a short clean text passes that
 #: repeats a single line.
@@ -131,7 +131,7 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, the measured fields, base_failed and kept of each row of (doc_id, text)."""
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return verdicts(rows.mapInArrow(_measured(["doc_id"]), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FIELDS}"))
+    return verdicts(rows.mapInArrow(trimmed(_measured(["doc_id"])), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FIELDS}"))
 
 
 def keep(docs: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ def keep(docs: DataFrame) -> DataFrame:
     renamed = docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("text", F.col(f"c{names.index('text')}").cast("string"))
     carried = [f"c{i}" for i in range(len(names))]
     schema = ", ".join(f"{c} {t}" for c, t in renamed.dtypes if c in carried)
-    out = verdicts(renamed.mapInArrow(_measured(carried), f"{schema}, {FIELDS}"))
+    out = verdicts(renamed.mapInArrow(trimmed(_measured(carried)), f"{schema}, {FIELDS}"))
     return out.where("kept").select(carried).toDF(*names)
 
 
