@@ -84,13 +84,14 @@ def triples_to_graph(rows: DataFrame, docs: DataFrame | None = None) -> Graph:
     own = F.when(F.col("implicit"), place)
     per = ends.groupBy("id", "doc_id").agg(F.min_by("label", place).alias("label"), F.min(place).alias("first"), F.min_by("type", own).alias("type"),
                                            F.coalesce(F.min_by(F.struct("char_start", "char_end"), own), F.min_by(F.struct("char_start", "char_end"), place)).alias("span"))
-    texts = docs.select("doc_id", "text") if docs is not None else rows.sparkSession.createDataFrame([], "doc_id long, text string")
-    per = per.join(texts, "doc_id", "left").withColumn("excerpt", excerpt_words("text", F.col("span.char_start"), F.col("span.char_end"))).drop("text")
+    # without docs there is nothing to join: the rows stay where they are
+    texted = lambda df: df.join(docs.select("doc_id", "text"), "doc_id", "left") if docs is not None else df.withColumn("text", F.lit(None).cast("string"))
+    per = texted(per).withColumn("excerpt", excerpt_words("text", F.col("span.char_start"), F.col("span.char_end"))).drop("text")
     order = F.struct("first", "doc_id")
     nodes = per.groupBy("id").agg(F.min_by("label", order).alias("label"), F.coalesce(F.min_by("type", F.when(F.col("type").isNotNull() & (F.col("type") != "unknown"), order)), F.lit("unknown")).alias("type"),
                                   F.min("first.ord").alias("ord"), F.array_sort(F.collect_set(F.col("doc_id").cast("string"))).alias("sources"), F.min_by("excerpt", order).alias("excerpt"))
     nodes = nodes.withColumn("attrs", F.map_filter(F.create_map(F.lit("type"), F.col("type"), F.lit("title"), F.concat_ws(": ", F.initcap("type"), "label"), F.lit("source_excerpt"), F.coalesce("excerpt", F.lit(""))), lambda k, v: v != "")).drop("excerpt")
-    e = rows.where("not implicit").join(texts, "doc_id", "left").withColumn("meta", F.coalesce(header("text"), F.expr("cast(map() as map<string,string>)")))
+    e = texted(rows.where("not implicit")).withColumn("meta", F.coalesce(header("text"), F.expr("cast(map() as map<string,string>)")))
     e = e.withColumn("excerpt", excerpt_words("text", F.col("char_start"), F.col("char_end"))).drop("text")
     stated = F.map_filter("attributes", lambda k, v: v.isNotNull() & (v != "") & ~k.isin("subject", "predicate", "object"))
     extra = F.map_filter(F.map_concat(F.col("meta"), F.map_from_arrays(F.array(F.lit("claim_id"), F.lit("time_scope")), F.array(F.col("meta")["doc_id"], F.col("meta")["doc_date"]))), lambda k, v: v.isNotNull())

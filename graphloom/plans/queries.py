@@ -765,9 +765,17 @@ def x1_header(spark, d):
     return o.select(F.col("o_orderkey").alias("k"), h["doc_id"].alias("doc_id"), h["doc_title"].alias("title"), h["doc_date"].alias("doc_date"))
 
 
+#: Bytes of text, as a power of two, whose records make up a partition: some hundred times as much, which a task can sort in memory.
+_RECORDS_POWER = 20
+
+
 def _records(spark, d) -> DataFrame:
-    """Extraction records made of all words of each text: entities of every fifth word, and relationships between all neighbours."""
-    docs = read(spark, d, "documents").where("text is not null").withColumn("ws", F.filter(F.split("text", r"[\x20\t-\r]+"), lambda w: w != ""))
+    """Extraction records made of all words of each text: entities of every fifth word, and relationships between all neighbours.
+
+    The texts are dealt out by document before they become words, so that what is done by document moves no words.
+    """
+    docs = read(spark, d, "documents").where("text is not null").select("doc_id", "text")
+    docs = docs.repartition(((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) >> _RECORDS_POWER) + 1, "doc_id").withColumn("ws", F.filter(F.split("text", r"[\x20\t-\r]+"), lambda w: w != ""))
     n = F.size("ws").cast("long").alias("n")
     words = docs.select("doc_id", n, F.posexplode(F.arrays_zip(F.col("ws").alias("a"), F.expr("slice(ws, 2, size(ws))").alias("b"))).alias("i", "p")).select("doc_id", "n", "i", "p.a", "p.b")
     nowhere = F.lit(None).cast("int")
